@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+from mizan.plans import orphan_queries
+
+FLAGSHIP = "p3_counts"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _part in (orphan_queries,):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES
