@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mizan.llm import lookalike, mix, pieces, tokens
+from mizan.llm import leaks, lookalike, mix, pieces, tokens
 from mizan.session import table
 
 ARTICLE_KEY, ARTICLE_FIELDS = ("doc_id", "eid"), ("article_ref", "text_ar", "text_normalized")
@@ -64,9 +64,22 @@ def p6_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enc.select("doc_id", F.size("ids").alias("n_tokens"), F.coalesce(F.array_max("ends"), F.lit(0)).alias("covered_to"))
 
 
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "bench_item"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaked items: number of documents and longest passage."""
+    return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("n_words").alias("longest"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_report, p1_sample, p2_found, p2_pieces, p5_found, p5_canonical, p6_ids, p6_roundtrip, p6_offsets)
+    for f in (p1_found, p1_report, p1_sample, p2_found, p2_pieces, p5_found, p5_canonical, p6_ids, p6_roundtrip, p6_offsets, p7_found, p7_items)
 }
 
 _PEOPLE = "(select prediction_id, " + ", ".join(
