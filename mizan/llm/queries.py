@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mizan.llm import leaks, lookalike, mix, pieces, tokens
+from mizan.llm import garble, leaks, lookalike, mix, pieces, tokens
 from mizan.session import table
 
 ARTICLE_KEY, ARTICLE_FIELDS = ("doc_id", "eid"), ("article_ref", "text_ar", "text_normalized")
@@ -77,9 +77,18 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("n_words").alias("longest"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garble.find_garbled(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The affected documents as far as they can be restored."""
+    return garble.find_garbled(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_report, p1_sample, p2_found, p2_pieces, p5_found, p5_canonical, p6_ids, p6_roundtrip, p6_offsets, p7_found, p7_items)
+    for f in (p1_found, p1_report, p1_sample, p2_found, p2_pieces, p5_found, p5_canonical, p6_ids, p6_roundtrip, p6_offsets, p7_found, p7_items, p8_found, p8_restored)
 }
 
 _PEOPLE = "(select prediction_id, " + ", ".join(
