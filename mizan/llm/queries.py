@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mizan.llm import garble, leaks, lookalike, mix, pieces, tokens
+from mizan.llm import defects, garble, leaks, lookalike, mix, pieces, tokens
 from mizan.session import table
 
 ARTICLE_KEY, ARTICLE_FIELDS = ("doc_id", "eid"), ("article_ref", "text_ar", "text_normalized")
@@ -35,6 +35,10 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.split_oversized(once, table(spark, sf_dir, "size_limit"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return defects.find_defects(table(spark, sf_dir, "predictions"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = lookalike.classes(table(spark, sf_dir, "article"), ARTICLE_KEY, "ordinal", ARTICLE_FIELDS)
     return lookalike.pairs(members, ARTICLE_KEY, "ordinal")
@@ -88,7 +92,7 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_report, p1_sample, p2_found, p2_pieces, p5_found, p5_canonical, p6_ids, p6_roundtrip, p6_offsets, p7_found, p7_items, p8_found, p8_restored)
+    for f in (p1_found, p1_report, p1_sample, p2_found, p2_pieces, p4_found, p5_found, p5_canonical, p6_ids, p6_roundtrip, p6_offsets, p7_found, p7_items, p8_found, p8_restored)
 }
 
 _PEOPLE = "(select prediction_id, " + ", ".join(
