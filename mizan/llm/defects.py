@@ -43,7 +43,7 @@ DECLINES = re.compile(
     r"أمتنع عن|أفضل عدم|أفضل ألا|لست قادر|لست مخول|لست في وضع|لا أستطيع|لا يمكنني|لا يسعني|لا أملك|لا أعرف|لا أدري|ليس بإمكاني|ليس بوسعي|ليس في وسعي|لم أجد ما|لا تتوفر لدي|غير متاح لي|لن أتمكن|لن أستطيع|"
     r"يسمح لي|خارج اختصاصي|خارج نطاقي|يتعذر علي|أعتذر عن|أرفض|"
     r"\bje ne (?:peux|saurais|suis|dispose|sais|souhaite|puis|veux)|\bje n'ai pas|\bje préfère|\bje dois décliner|\bje décline|\bje refuse|il m'est impossible|\bm'abstenir|aucune réponse ne peut vous|de mon domaine|mes compétences|que je suis autorisé|"
-    r"\bi am (?:unable|not able|not in a position|not allowed)|\bi'm (?:unable|not able|sorry)|\bi (?:cannot|can't|can not|could not|do not have|don't have|don't know|will not|won't|must decline|decline|would rather not|prefer not|refuse|have no)|"
+    r"\bi am (?:unable|not able|not in a position|not allowed)|\bi'm (?:unable|not able|sorry)|\bi (?:cannot|can't|can not|could not|do not have|don't have|don't know|will not|won't|must decline|have to decline|need to decline|decline|would rather not|prefer not|refuse|have no)|"
     r"beyond what i|outside (?:of )?my|not available to me|given by me|my (?:area|field|remit|scope)",
     re.I,
 )
@@ -172,6 +172,7 @@ def fit_languages(pairs: DataFrame, query: str, answer: str, label: str, key: st
 # --- ends of texts ---------------------------------------------------------------------------------
 
 _WORDS = re.compile(r"\w+")
+_FULL_STOP = re.compile(r"[.!?؟](?:[^\w…]|_)*$")
 RARE = np.uint64(1)
 START = np.uint64(2)
 
@@ -197,7 +198,7 @@ class _Words:
                 self.memo[w] = np.array([[0, 1]], np.uint64).tobytes()
                 continue
             found = _WORDS.findall(w.lower())
-            ends = bool(re.search(r"[.!?؟][\W_]*$", w))
+            ends = bool(_FULL_STOP.search(w)) and ".." not in w
             self.memo[w] = np.array([[_hash("0" if x.isdigit() else x), ends and k + 1 == len(found)] for k, x in enumerate(found)], np.uint64).reshape(-1, 2).tobytes()
         a = np.frombuffer(b"".join(map(self.memo.__getitem__, raw)), np.uint64).reshape(-1, 2)
         line = np.flatnonzero(a[:, 0] == 0)
