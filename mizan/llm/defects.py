@@ -3,8 +3,8 @@
 Kinds, in the order in which they are tried: `empty` (nothing said), `copy` (the prompt given back),
 `refusal` (every sentence declines or makes way), `other_language`, `truncated`.
 
-Languages are compared by a naive Bayes model of hashed character n-grams, fitted on a bounded
-sample of labelled rows: a pair counts if the model is sure of both sides and they differ. Quoted
+Languages are compared by a naive Bayes model of hashed character n-grams, counted over all labelled
+rows into a table of fixed size: a pair counts if the model is sure of both sides and they differ. Quoted
 terms do not count. Truncation is judged by how probable it is that a text ends after its last two
 words: how often the corpus, all of it, ends a sentence there, and how often it has such a word
 there at all. Rare words (names, and words broken off) count as one. Open brackets, list marks
@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows that the language model is fitted on, and the hashed n-grams that it knows.
-MAX_TRAIN_ROWS, GRAM_BITS = 20_000, 16
-#: Rows that a label needs, letters that a text needs, and the least lead per n-gram, to be judged.
-MIN_LABEL_ROWS, MIN_LETTERS, MIN_LEAD = 20, 12, 0.15
+#: Hashed n-grams that the language model knows.
+GRAM_BITS = 16
+#: Rows and share of rows that a label needs to become a language (so there are 200 at most).
+MIN_LABEL_ROWS, MIN_LABEL_SHARE = 20, 0.005
+#: Letters that a text needs, and the least lead per n-gram, to be judged.
+MIN_LETTERS, MIN_LEAD = 12, 0.15
 #: Words rarer than this share of all words (and than RARE_COUNT) count as one rare word.
 RARE_SHARE, RARE_COUNT = 5e-6, 3
 #: An end is a break if its probability, or that of a rare word in its place, is below.
@@ -134,20 +136,13 @@ def gram_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class LanguageModel:
-    """Naive Bayes over hashed character n-grams; its size is fixed."""
+    """Naive Bayes over hashed character n-grams; its size is fixed by labels and hash."""
 
-    def __init__(self, rows: list[tuple[str, str]]):
-        by: dict[str, list[str]] = {}
-        for label, text in rows:
-            by.setdefault(label, []).append(text)
-        self.labels = sorted(k for k, v in by.items() if len(v) >= MIN_LABEL_ROWS)
+    def __init__(self, labels: list[str], counts: np.ndarray):
+        """counts: labels x 3 orders x n-grams."""
+        self.labels = labels
         n = 1 << GRAM_BITS
-        table = np.zeros((3, len(self.labels), n), np.float64)
-        for k, label in enumerate(self.labels):
-            g, _ = gram_codes(by[label])
-            for order in range(3):
-                table[order, k] = np.bincount(g[order], minlength=n)
-        self.order = [np.log((table[o] + 0.05) / (table[o].sum(axis=1, keepdims=True) + 0.05 * n)).astype(np.float32) for o in range(3)]
+        self.order = [np.log((counts[:, o] + 0.05) / (counts[:, o].sum(axis=1, keepdims=True) + 0.05 * n)).astype(np.float32) for o in range(3)]
 
     def judge(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Best label of each text and its lead over the next, per n-gram; -1 where too short."""
@@ -162,11 +157,39 @@ class LanguageModel:
         return best, rank[-1] - rank[-2]
 
 
-def fit_languages(pairs: DataFrame, query: str, answer: str, label: str, key: str) -> LanguageModel:
-    """On MAX_TRAIN_ROWS labelled rows at most, drawn by a hash of their key."""
-    name = F.lower(F.trim(label))
-    rows = pairs.filter((name != "") & F.col(query).isNotNull()).select(F.xxhash64(key).alias("h"), name.alias("label"), F.concat_ws(" ", query, answer).alias("text"))
-    return LanguageModel([(r.label, r.text) for r in rows.orderBy("h").limit(MAX_TRAIN_ROWS).collect()])
+def fit_languages(pairs: DataFrame, query: str, answer: str, label: str) -> LanguageModel:
+    """Counts of all labelled rows, summed in Spark; the sums that come back have a fixed bound."""
+    named = pairs.select(F.lower(F.trim(label)).alias("label"), F.concat_ws(" ", query, answer).alias("text")).filter("label <> ''")
+    per_label = named.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    total = per_label.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("s"))
+    kept = per_label.filter(F.col("n") >= MIN_LABEL_ROWS).join(F.broadcast(total), F.col("n") >= F.col("s") * MIN_LABEL_SHARE)
+    labels = sorted(r.label for r in kept.select("label").collect())
+    number = {x: k for k, x in enumerate(labels)}
+    n = 1 << GRAM_BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, STEP_ROWS):
+                b = whole.slice(at, STEP_ROWS)
+                by: dict[int, list[str]] = {}
+                for x, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    if x in number:
+                        by.setdefault(number[x], []).append(t)
+                for k, ts in by.items():
+                    g, _ = gram_codes(ts)
+                    own = sums.setdefault(k, np.zeros((3, n), np.int64))
+                    for o in range(3):
+                        own[o] += np.bincount(g[o], minlength=n)
+        for k, own in sums.items():
+            at = np.flatnonzero(own.ravel())
+            yield pa.RecordBatch.from_arrays([pa.array((at + k * 3 * n).astype(np.int64)), pa.array(own.ravel()[at])], names=["at", "n"])
+
+    part = named.filter(F.col("label").isin(labels) if labels else F.lit(False)).mapInArrow(run, "at bigint, n bigint")
+    table = np.zeros(len(labels) * 3 * n)
+    for r in [part.groupBy("at").agg(F.sum("n").alias("n")).toArrow()]:
+        table[r["at"].to_numpy()] = r["n"].to_numpy()
+    return LanguageModel(labels, table.reshape(len(labels), 3, n))
 
 
 # --- ends of texts ---------------------------------------------------------------------------------
@@ -273,7 +296,7 @@ def find_defects(pairs: DataFrame, key: str = "prediction_id", query: str = "que
     spark = pairs.sparkSession
     asked = pairs.filter(~F.coalesce(F.col(abstain), F.lit(False)) & F.col(key).isNotNull())
     frequent = frequent_words(pairs, answer)
-    shared = spark.sparkContext.broadcast((frequent, fit_languages(pairs, query, answer, label, key)))
+    shared = spark.sparkContext.broadcast((frequent, fit_languages(pairs, query, answer, label)))
     kind = pairs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
