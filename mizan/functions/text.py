@@ -64,20 +64,20 @@ def normalize_arabic(c: Column, ta_marbuta: bool = False) -> Column:
     return squeeze_ws(c)
 
 
-# The Latin letters with a mark whose base is an ASCII letter, by rule from Unicode itself.
-def _latin_fold() -> tuple[str, str]:
+# Every character whose canonical decomposition is an ASCII character and marks, by Unicode's rule.
+def _ascii_fold() -> tuple[str, str]:
     import unicodedata
 
     src, dst = [], []
-    for cp in range(0xC0, 0x250):
+    for cp in range(0x80, 0x10000):
         d = unicodedata.normalize("NFD", chr(cp))
-        if len(d) > 1 and d[0].isascii():
+        if d != chr(cp) and d[0].isascii() and not d[1:].isascii() or (len(d) == 1 and d != chr(cp) and d.isascii()):
             src.append(chr(cp))
             dst.append(d[0])
     return "".join(src), "".join(dst)
 
 
-_FOLD_SRC, _FOLD_DST = _latin_fold()
+_FOLD_SRC, _FOLD_DST = _ascii_fold()
 
 
 def normalize_french(c: Column) -> Column:
@@ -229,12 +229,12 @@ def content_token_count(c: Column) -> Column:
 
 def clauses(c: Column) -> Column:
     """Clauses between Arabic or Latin punctuation, trimmed, blanks dropped (STR-14)."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"[،؛؟.,;:!?\n]+"), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"[،؛؟.,;:!?\n]+"), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def claims(c: Column) -> Column:
     """Sentences of 15 characters or more (STR-15)."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"[.!?؟。\n]+\s*"), F.trim), lambda t: F.length(t) >= 15)
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"[.!?؟。\n]+\s*"), lambda t: F.trim(t)), lambda t: F.length(t) >= 15)
 
 
 def support_span(c: Column) -> Column:
