@@ -91,7 +91,11 @@ def is_copy(query: str | None, answer: str) -> bool:
 def is_refusal(answer: str) -> bool:
     """Every sentence declines or makes way, and one declines."""
     declined = False
-    for s in _SENTENCE.split(answer):
+    start = 0
+    while start < len(answer):
+        # sentence by sentence: most answers are settled by their first
+        m = _SENTENCE.search(answer, start)
+        s, start = (answer[start : m.start()], m.end()) if m else (answer[start:], len(answer))
         s = s.strip()
         if not any(c.isalnum() for c in s):
             continue
@@ -107,13 +111,7 @@ def is_broken(answer: str) -> bool | None:
     t = answer.rstrip()
     if _LIST_MARK.search(t) or _DANGLING.search(t):
         return True
-    depth: list[str] = []
-    for c in t:
-        if c in _OPEN:
-            depth.append(_OPEN[c])
-        elif depth and c == depth[-1]:
-            depth.pop()
-    if depth and (t.count(depth[-1]) < t.count(next(k for k, v in _OPEN.items() if v == depth[-1]))):
+    if any(t.count(a) > t.count(b) and t.rfind(a) > t.rfind(b) for a, b in _OPEN.items()):
         return True
     end = t.rstrip("\"'»”’ ")
     if end.endswith(("…", "..")):
@@ -125,24 +123,23 @@ def is_broken(answer: str) -> bool | None:
 
 
 def gram_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed 1- to 3-grams of all texts, one per character, and where each text starts."""
+    """Hashed 2- and 3-grams of all texts, one each per character, and where each text starts."""
     clean = [" " + re.sub(r"[\W\d_]+", " ", _QUOTED.sub(" ", t)).strip().lower() + " " for t in texts]
     code = np.frombuffer("".join(clean).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     starts = np.cumsum([0, *map(len, clean)])[:-1]
-    one = code * np.uint64(0x9E3779B97F4A7C15)
     two = (code + np.roll(code, 1) * np.uint64(0x10001)) * np.uint64(0xC2B2AE3D27D4EB4F)
     three = (code + np.roll(code, 1) * np.uint64(0x10001) + np.roll(code, 2) * np.uint64(0x100000001B3)) * np.uint64(0x165667B19E3779F9)
-    return np.stack([x >> np.uint64(64 - GRAM_BITS) for x in (one, two, three)]).astype(np.int64), starts
+    return np.stack([x >> np.uint64(64 - GRAM_BITS) for x in (two, three)]).astype(np.int64), starts
 
 
 class LanguageModel:
     """Naive Bayes over hashed character n-grams; its size is fixed by labels and hash."""
 
     def __init__(self, labels: list[str], counts: np.ndarray):
-        """counts: labels x 3 orders x n-grams."""
+        """counts: labels x 2 orders x n-grams."""
         self.labels = labels
         n = 1 << GRAM_BITS
-        self.order = [np.log((counts[:, o] + 0.05) / (counts[:, o].sum(axis=1, keepdims=True) + 0.05 * n)).astype(np.float32) for o in range(3)]
+        self.order = [np.log((counts[:, o] + 0.05) / (counts[:, o].sum(axis=1, keepdims=True) + 0.05 * n)).astype(np.float32) for o in range(2)]
 
     def judge(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Best label of each text and its lead over the next, per n-gram; -1 where too short."""
@@ -150,7 +147,7 @@ class LanguageModel:
             return np.full(len(texts), -1), np.zeros(len(texts))
         g, starts = gram_codes(texts)
         length = np.diff(np.append(starts, g.shape[1]))
-        score = sum(np.add.reduceat(self.order[o][:, g[o]], starts, axis=1) for o in range(3)) / np.maximum(length, 1)
+        score = sum(np.add.reduceat(self.order[o][:, g[o]], starts, axis=1) for o in range(2)) / np.maximum(length, 1)
         rank = np.sort(score, axis=0)
         best = np.argmax(score, axis=0)
         best[length < MIN_LETTERS] = -1
@@ -159,7 +156,7 @@ class LanguageModel:
 
 def fit_languages(pairs: DataFrame, query: str, answer: str, label: str) -> LanguageModel:
     """Counts of all labelled rows, summed in Spark; the sums that come back have a fixed bound."""
-    named = pairs.select(F.lower(F.trim(label)).alias("label"), F.concat_ws(" ", query, answer).alias("text")).filter("label <> ''")
+    named = pairs.select(F.lower(F.trim(label)).alias("label"), F.coalesce(answer, query).alias("text")).filter("text is not null and label <> ''")
     per_label = named.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     total = per_label.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("s"))
     kept = per_label.filter(F.col("n") >= MIN_LABEL_ROWS).join(F.broadcast(total), F.col("n") >= F.col("s") * MIN_LABEL_SHARE)
@@ -178,18 +175,18 @@ def fit_languages(pairs: DataFrame, query: str, answer: str, label: str) -> Lang
                         by.setdefault(number[x], []).append(t)
                 for k, ts in by.items():
                     g, _ = gram_codes(ts)
-                    own = sums.setdefault(k, np.zeros((3, n), np.int64))
-                    for o in range(3):
+                    own = sums.setdefault(k, np.zeros((2, n), np.int64))
+                    for o in range(2):
                         own[o] += np.bincount(g[o], minlength=n)
         for k, own in sums.items():
             at = np.flatnonzero(own.ravel())
-            yield pa.RecordBatch.from_arrays([pa.array((at + k * 3 * n).astype(np.int64)), pa.array(own.ravel()[at])], names=["at", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array((at + k * 2 * n).astype(np.int64)), pa.array(own.ravel()[at])], names=["at", "n"])
 
     part = named.filter(F.col("label").isin(labels) if labels else F.lit(False)).mapInArrow(run, "at bigint, n bigint")
-    table = np.zeros(len(labels) * 3 * n)
+    table = np.zeros(len(labels) * 2 * n)
     for r in [part.groupBy("at").agg(F.sum("n").alias("n")).toArrow()]:
         table[r["at"].to_numpy()] = r["n"].to_numpy()
-    return LanguageModel(labels, table.reshape(len(labels), 3, n))
+    return LanguageModel(labels, table.reshape(len(labels), 2, n))
 
 
 # --- ends of texts ---------------------------------------------------------------------------------
@@ -316,7 +313,9 @@ def find_defects(pairs: DataFrame, key: str = "prediction_id", query: str = "que
                         out.append((d, None, None, None, None))
                     else:
                         open_.append(k)
-                lq, leadq = languages.judge([qs[k] or "" for k in open_])
+                asked = {q: i for i, q in enumerate(dict.fromkeys(qs[k] or "" for k in open_))}
+                each = np.array([asked[qs[k] or ""] for k in open_], np.int64)
+                lq, leadq = (x[each] for x in languages.judge(list(asked)))
                 la, leada = languages.judge([ans[k] for k in open_])
                 differ = (lq != la) & (lq >= 0) & (la >= 0) & (leadq >= MIN_LEAD) & (leada >= MIN_LEAD)
                 for k, other in zip(open_, differ):
