@@ -166,7 +166,12 @@ def arabic_stem(t: Column) -> Column:
 
 def bm25_tokens(c: Column) -> Column:
     """array<string> of stemmed retrieval tokens; law ids such as 90-11 stay whole (STR-7)."""
-    t = normalize_arabic(c)
+    return tokens_of_normal(normalize_arabic(c))
+
+
+def tokens_of_normal(t: Column) -> Column:
+    """`bm25_tokens` of a column that is in normal form already, so that it is not computed anew in
+    every branch of the expression."""
     # within a law id every separator sits between digits; protect it, then restore by the joiner
     ids = F.regexp_replace(t, rf"({LEGAL_ID})", JOINER + "$1" + JOINER)
     guarded = F.array_join(

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from mizan.functions.text import bm25_tokens
+from mizan.functions.text import bm25_tokens, normalize_arabic, tokens_of_normal
+from mizan.session import materialise
 
 # --- fixed values: Okapi parameters -----------------------------------------------------------
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -36,9 +37,15 @@ class TextIndex:
     totals: DataFrame
 
 
-def build_index(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text", tokens=bm25_tokens) -> TextIndex:
-    """Postings with term frequencies; terms are counted map-side before they are shuffled."""
-    toks = chunks.select(F.col(chunk_id).alias("chunk_id"), tokens(F.col(text)).alias("toks"))
+def tokenised(rows: DataFrame, key: str, text: str, as_key: str) -> DataFrame:
+    """`as_key`, toks; in two steps, as the normal form is used several times."""
+    return rows.select(F.col(key).alias(as_key), normalize_arabic(F.col(text)).alias("_n")).select(as_key, tokens_of_normal(F.col("_n")).alias("toks"))
+
+
+def build_index(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text") -> TextIndex:
+    """Postings with term frequencies; terms are counted map-side before they are shuffled. Texts are
+    tokenised once; what search joins with is read from the checkpoint."""
+    toks = materialise(tokenised(chunks, chunk_id, text, "chunk_id"))
     lengths = toks.select("chunk_id", F.size("toks").alias("dl"))
     postings = toks.select("chunk_id", F.explode("toks").alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -53,9 +60,9 @@ def idf_table(ix: TextIndex) -> DataFrame:
     return raw.join(F.broadcast(mean), F.lit(True)).select("term", F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw")).alias("idf"))
 
 
-def query_terms(questions: DataFrame, query_id: str, text: str, tokens=bm25_tokens) -> DataFrame:
+def query_terms(questions: DataFrame, query_id: str, text: str) -> DataFrame:
     """query_id, term, qtf: repeated query terms count repeatedly."""
-    t = questions.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(text))).alias("term"))
+    t = tokenised(questions, query_id, text, "query_id").select("query_id", F.explode("toks").alias("term"))
     return t.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 

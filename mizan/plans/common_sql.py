@@ -46,8 +46,11 @@ idf as (select term, case when raw < 0 then (select avg(raw) from raw) * 0.25 el
 qt as (select query_id, u.term as term, count(*) as qtf from (select query_id, {tokens("query")} as t from q0), unnest(t) as u(term) group by all),
 sc as (select query_id, p.chunk_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (select avgdl from tot)))), 6) as score
   from qt join idf using (term) join post p using (term) join lens l on p.chunk_id = l.chunk_id group by all),
-bm as (select query_id, cast(row_number() over (partition by query_id order by score desc, chunk_id) as int) as rank, chunk_id, score from sc
-  qualify row_number() over (partition by query_id order by score desc, chunk_id) <= {k})"""
+top as (select query_id, cast(row_number() over (partition by query_id order by score desc, chunk_id) as int) as rank, chunk_id, score from sc
+  qualify row_number() over (partition by query_id order by score desc, chunk_id) <= {k}),
+few as (select query_id, count(t.chunk_id) as have from (select distinct query_id from qt) left join top t using (query_id) group by 1 having count(t.chunk_id) < {k}),
+pad as (select query_id, have, chunk_id, row_number() over (partition by query_id order by chunk_id) as i from few, lens where (query_id, chunk_id) not in (select (query_id, chunk_id) from top)),
+bm as (select * from top union all select query_id, cast(have + i as int), chunk_id, 0.0 from pad where have + i <= {k})"""
 
 
 def sparse_cte(k: int) -> str:
