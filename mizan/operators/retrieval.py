@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from mizan.functions.text import bm25_tokens, normalize_arabic, tokens_of_normal
+from mizan.functions.text import normalize_arabic, tokens_of_normal
 from mizan.session import materialise
 
 # --- fixed values: Okapi parameters -----------------------------------------------------------
@@ -25,11 +25,13 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 SCORE_DIGITS = 6
 #: Query vectors that are multiplied in one pass over the corpus.
 QUERIES_PER_PASS = 4_096
+#: Query terms up to which their side of a join is broadcast; beyond, the join shuffles by term.
+BROADCAST_ROWS = 200_000
 
 
 @dataclass
 class TextIndex:
-    """postings(term, chunk_id, tf), chunks(chunk_id, dl), terms(term, df); one row: n, avgdl."""
+    """postings(term, chunk_id, dl, tf), chunks(chunk_id, dl), terms(term, df); one row: n, avgdl."""
 
     postings: DataFrame
     chunks: DataFrame
@@ -47,12 +49,20 @@ def build_index(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text
     tokenised once; what search joins with is read from the checkpoint."""
     toks = materialise(tokenised(chunks, chunk_id, text, "chunk_id"))
     lengths = toks.select("chunk_id", F.size("toks").alias("dl"))
-    postings = toks.select("chunk_id", F.explode("toks").alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # one shuffle by chunk serves the count, the join with query terms, and the sum of scores
+    rows = toks.repartition("chunk_id").select("chunk_id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
+    postings = rows.groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
     return TextIndex(postings, lengths, terms, totals)
 
 
+def bounded(side: DataFrame) -> DataFrame:
+    """The stated queries' side of a join, written once, and broadcast if its size was found small."""
+    side = materialise(side)
+    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+
+
 def idf_table(ix: TextIndex) -> DataFrame:
     """term, idf; negative values give way to a quarter of the mean."""
     raw = ix.terms.join(F.broadcast(ix.totals), F.lit(True)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
@@ -74,18 +84,19 @@ def ranked(scored: DataFrame, k: int, by: str = "query_id", tie: str = "chunk_id
 
 def bm25_scores(ix: TextIndex, terms: DataFrame) -> DataFrame:
     """query_id, chunk_id, score of every chunk that shares a term with the query."""
-    weighted = terms.join(idf_table(ix), "term")
+    weighted = bounded(terms.join(idf_table(ix), "term").join(F.broadcast(ix.totals), F.lit(True)).select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"), "avgdl"))
     dl = F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1e-9))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * dl))
-    hits = ix.postings.join(weighted, "term").join(ix.chunks, "chunk_id").join(F.broadcast(ix.totals), F.lit(True))
-    return hits.select("query_id", "chunk_id", (F.col("qtf") * F.col("idf") * tf).alias("s")).groupBy("query_id", "chunk_id").agg(F.sum("s").alias("score"))
+    hits = ix.postings.join(weighted, "term").select("query_id", "chunk_id", (F.col("w") * tf).alias("s"))
+    return hits.groupBy("query_id", "chunk_id").agg(F.sum("s").alias("score"))
 
 
 def bm25_search(ix: TextIndex, questions: DataFrame, k: int, query_id: str = "query_id", text: str = "query") -> DataFrame:
     """Top k chunks of every question that has tokens; where fewer match, chunks with score 0 follow in
     order of their id."""
     terms = query_terms(questions, query_id, text)
-    top = ranked(bm25_scores(ix, terms), k)
+    # k rows per query, read three times below
+    top = materialise(ranked(bm25_scores(ix, terms), k).select("query_id", "rank", "chunk_id", "score"))
     short = top.groupBy("query_id").agg(F.count(F.lit(1)).alias("have"))
     asked = terms.select("query_id").distinct()
     short = asked.join(short, "query_id", "left").select("query_id", F.coalesce("have", F.lit(0)).alias("have")).filter(F.col("have") < k)
@@ -100,7 +111,7 @@ def bm25_search(ix: TextIndex, questions: DataFrame, k: int, query_id: str = "qu
 
 def sparse_search(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Dot product of sparse vectors in long form: docs(chunk_id, term, weight), queries(query_id, term, weight)."""
-    q = queries.withColumnRenamed("weight", "qw")
+    q = bounded(queries.withColumnRenamed("weight", "qw"))
     s = docs.join(q, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("qw")).alias("score"))
     return ranked(s, k).select("query_id", "rank", "chunk_id", "score")
 
@@ -218,8 +229,9 @@ def rerank(hits: DataFrame, k: int, scorer: Column | None = None) -> DataFrame:
     """Re-orders hits(query_id, rank, chunk_id, query, text) by a scorer column, first k. Without one,
     the share of the query's tokens that the text holds stands in (a declared stand-in)."""
     if scorer is None:
-        q, t = F.array_distinct(bm25_tokens(F.col("query"))), bm25_tokens(F.col("text"))
-        scorer = F.size(F.array_intersect(q, t)) / F.greatest(F.size(q), F.lit(1))
+        hits = hits.withColumns({"_q": normalize_arabic(F.col("query")), "_t": normalize_arabic(F.col("text"))})
+        hits = hits.withColumns({"_q": F.array_distinct(tokens_of_normal(F.col("_q"))), "_t": tokens_of_normal(F.col("_t"))})
+        scorer = F.size(F.array_intersect("_q", "_t")) / F.greatest(F.size("_q"), F.lit(1))
     scored = hits.withColumn("score", F.round(scorer, SCORE_DIGITS))
     w = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("rank"))
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("_q", "_t")
