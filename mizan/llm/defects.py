@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mizan.session import materialise
+
 #: Hashed n-grams that the language model knows.
 GRAM_BITS = 16
 #: Rows and share of rows that a label needs to become a language (so there are 200 at most).
@@ -338,6 +340,8 @@ def find_defects(pairs: DataFrame, key: str = "prediction_id", query: str = "que
                 yield pa.RecordBatch.from_arrays(cols, names=[key, "defect", "h1", "h2", "hu", "rare"])
 
     judged = asked.select(key, query, answer).mapInArrow(run, f"`{key}` {kind}, defect string, h1 bigint, h2 bigint, hu bigint, rare boolean").distinct()
+    # a few columns of the undecided and defective rows, read twice below
+    judged = materialise(judged)
     sure = judged.filter("defect is not null").select(key, "defect")
     ends = judged.filter("defect is null").select(key, "rare", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("h")) for i, c in enumerate(("h1", "h2", "hu"))])).alias("c")).select(key, "rare", "c.i", "c.h")
     counts = end_counts(pairs, answer, shared)
