@@ -149,7 +149,7 @@ def ref_to_eid(c: Column) -> Column:
 # --- fixed values: the retrieval tokeniser -----------------------------------------------------
 STEM_PREFIXES = ("وال", "بال", "كال", "فال", "لل", "ال", "و", "ب", "ك", "ف", "ل")
 LEGAL_ID = r"(?<![\p{L}\p{N}_])\d{2,4}(?:[-_]\d{2,4})+(?![\p{L}\p{N}_])"
-TOKEN_PUNCT = r"[\p{Punct}،؛؟«»“”’‘…–—]"
+TOKEN_PUNCT = r"[\p{Punct}،؛؟]"
 JOINER = "\ue001"
 # ---------------------------------------------------------------------------------------------
 
@@ -189,31 +189,40 @@ def tokens_of_normal(t: Column) -> Column:
 
 # --- fixed values: words that carry no topic ---------------------------------------------------
 STOP_WORDS = (
-    "في", "من", "على", "إلى", "عن", "مع", "هذا", "هذه", "ذلك", "تلك", "التي", "الذي", "الذين", "ما", "ماذا", "هل", "كيف", "متى", "أين", "لماذا", "أو", "ثم", "أن", "إن", "لا", "لم", "لن", "قد", "كان", "كانت", "كل", "بعض", "غير", "بين", "حتى", "عند", "بعد", "قبل", "هو", "هي",
-    "le", "la", "les", "de", "des", "du", "un", "une", "et", "ou", "que", "qui", "est", "dans", "pour", "par", "sur", "au", "aux",
+    "ما", "هي", "هو", "هل", "ماذا", "لماذا", "كيف", "أين", "متى", "من", "ومن", "إلى", "عن", "على", "في", "مع", "كل", "بعض", "هذا", "هذه",
+    "ذلك", "تلك", "الذي", "التي", "الذين", "اللاتي", "كان", "كانت", "يكون", "ليس", "ليست", "قد", "لقد", "أن", "إن", "أو", "أم", "ثم",
+    "بين", "حتى", "لكن", "غير", "بدون", "ضد", "حسب", "وفق", "وفقا", "وفقًا", "بموجب", "هنا", "هناك", "أيضا", "أيضًا", "نفس",
+    "ينبغي", "يجب", "يمكن", "يحق", "حق", "حقوق",
+    "the", "a", "an", "and", "or", "of", "in", "to", "is", "are", "was", "were", "be", "been", "for", "on", "with", "as", "at", "by", "this",
+    "that", "these", "those", "it", "its", "from", "what", "which", "who", "how", "why", "when", "where",
 )
 # ---------------------------------------------------------------------------------------------
 
 
-def _no_stop(tokens: Column, *, strip_article: bool) -> Column:
-    raw = F.array(*[F.lit(w) for w in STOP_WORDS])
-    folded = F.array(*[normalize_arabic(F.lit(w)) for w in STOP_WORDS])
-    bare = lambda t: F.when(t.startswith("ال") & (F.length(t) > 4), F.substring(t, 3, 1 << 30)).otherwise(t)
-    kept = F.filter(tokens, lambda t: (F.length(t) >= 3) & ~F.array_contains(raw, t) & ~F.array_contains(folded, normalize_arabic(t)))
-    if strip_article:
-        return F.filter(F.transform(kept, bare), lambda t: ~F.array_contains(raw, t))
-    return F.filter(kept, lambda t: ~F.array_contains(folded, normalize_arabic(bare(t))))
+def _words(c: Column) -> Column:
+    """Runs of word characters of three or more."""
+    return F.filter(F.split(F.coalesce(c, F.lit("")), r"[^\p{L}\p{N}_\u0600-\u06ff]+"), lambda t: F.length(t) >= 3)
+
+
+def _bare(t: Column) -> Column:
+    """A word of five letters or more without its article."""
+    return F.when(t.startswith("ال") & (F.length(t) > 4), F.substring(t, 3, 1 << 30)).otherwise(t)
+
+
+def _stops(t: Column) -> Column:
+    return F.array_contains(F.array(*[F.lit(w) for w in STOP_WORDS]), t)
 
 
 def graph_query_tokens(c: Column, limit: int | None = 8) -> Column:
-    """Distinct topic words without their article, first-seen order, at most `limit` (STR-9, 10)."""
-    t = _no_stop(F.split(F.coalesce(c, F.lit("")), r"[^\p{L}\p{N}_؀-ۿ]+"), strip_article=True)
+    """Distinct topic words without their article, first-seen order, at most `limit`; without a limit
+    repeats stay (STR-9, STR-10)."""
+    t = F.filter(F.transform(_words(c), _bare), lambda x: ~_stops(x) & ~_stops(normalize_arabic(x)))
     return t if limit is None else F.slice(F.array_distinct(t), 1, limit)
 
 
 def concept_tokens(c: Column) -> Column:
-    """Topic words that keep their article (STR-11)."""
-    return _no_stop(F.split(F.coalesce(c, F.lit("")), r"[^\p{L}\p{N}_]+"), strip_article=False)
+    """Topic words that keep their article; a stop word with an article goes too (STR-11)."""
+    return F.filter(_words(c), lambda x: ~_stops(x) & ~_stops(_bare(x)))
 
 
 def concept_phrases(c: Column) -> Column:
@@ -278,16 +287,16 @@ def strip_thinking(c: Column) -> Column:
 
 # --- fixed values: how a free text cites an article ---------------------------------------------
 LAW_NUMBER_FORMS = (
-    r"(?:القانون|قانون|الأمر|أمر|المرسوم|مرسوم)\s*(?:رقم)?\s*\d{2,4}\s*[-–/]\s*\d{2,4}",
-    r"(?iu)(?:loi|ordonnance|décret)\s*(?:n[°o]?)?\s*\d{2,4}\s*[-–/]\s*\d{2,4}",
-    r"\d{1,2}\s*[-/]\s*\d{1,2}\s*[-/]\s*\d{4}",
-    r"\d{4}\s*-\s*\d{1,2}\s*-\s*\d{1,2}",
-    r"\d{2,4}\s*[-–]\s*\d{2,4}",
+    r"(?U)رقم\s*\d{2,4}[-/]\d{2,4}",
+    r"(?U)(?:قانون|القانون|أمر|الأمر|مرسوم)\s*(?:رقم\s*)?\d{2,4}[-/]\d{2,4}",
+    r"(?U)[Ll]oi\s*(?:n[°o]?\s*)?\d{2,4}[-/]\d{2,4}",
+    r"(?U)\d{2,4}[-/]\d{2,4}[-/]\d{2,4}",
+    r"(?U)\b\d{2}-\d{2,4}\b",
 )
 ARTICLE_CITATION_FORMS = (
-    r"(?:المادة|مادة)\s*(\d+(?:\s*مكرر(?:\s*\d+)?)?)",
-    r"(?:المواد|المادتين)\s*(\d+)",
-    r"(?iu)(?:article|art\.?)\s*(\d+(?:\s*bis(?:\s*\d+)?)?)",
+    r"(?U)(?:المادة|المادّة|مادة)\s+(\d+(?:\s*(?:مكرر|مكرّر)(?:\s*\d+)?)?)",
+    r"(?U)المواد\s+(\d+)",
+    r"(?U)[Aa]rt(?:icle)?\.?\s*(\d+(?:\s*(?:bis|ter|quater))?)",
 )
 # ---------------------------------------------------------------------------------------------
 
@@ -299,7 +308,7 @@ def cited_articles(c: Column) -> Column:
     """
     t = F.coalesce(c, F.lit(""))
     for p in LAW_NUMBER_FORMS:
-        t = F.regexp_replace(t, p, " ")
+        t = F.regexp_replace(t, p, "")
     found = [F.regexp_extract_all(t, F.lit(p), F.lit(1)) for p in ARTICLE_CITATION_FORMS]
     return F.array_distinct(F.transform(F.concat(*found), squeeze_ws))
 

@@ -24,7 +24,7 @@ def tokens(x: str) -> str:
     for _ in range(2):
         t = sub(t, rf"{edge}(\d{{2,4}})[-_](\d{{2,4}})[-_](\d{{2,4}}){end}", r"\1\2X\3X\4\5").replace("X", "")
         t = sub(t, rf"{edge}(\d{{2,4}})[-_](\d{{2,4}}){end}", r"\1\2X\3\4").replace("X", "")
-    punct = r"[\x{21}-\x{2f}\x{3a}-\x{40}\x{5b}-\x{60}\x{7b}-\x{7e}،؛؟«»“”’‘…–—]"
+    punct = r"[\x{21}-\x{2f}\x{3a}-\x{40}\x{5b}-\x{60}\x{7b}-\x{7e}،؛؟]"
     parts = f"list_filter(regexp_split_to_array({sub(t, punct, ' ')}, '{WS_SQL}+'), lambda y: y <> '')"
     stem = "case " + " ".join(f"when starts_with(y, '{p}') and length(y) - {len(p)} >= 3 then substr(y, {len(p) + 1})" for p in T.STEM_PREFIXES) + " else y end"
     return f"list_transform({parts}, lambda y: {stem})"
