@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mizan.functions import text as T
 from mizan.operators import asof, fusion, gates, graph, registry, retrieval
+from mizan.plans import pipelines
 from mizan.plans.common_sql import PREDICTIONS, bm25_cte, norm_ar, sparse_cte
 from mizan.plans.metric_queries import results
 from mizan.plans.orphan_queries import canonical_sql
@@ -93,6 +94,34 @@ def pipe_b4_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.rerank(pool, 5).select("query_id", "rank", "chunk_id", "score")
 
 
+def _corpus(spark: SparkSession, sf_dir: str) -> pipelines.Corpus:
+    return pipelines.Corpus.of(table(spark, sf_dir, "chunk"), table(spark, sf_dir, "article"))
+
+
+def _brief(answers: DataFrame) -> DataFrame:
+    return answers.select("query_id", "abstention", "abstention_reason", F.size("citations").alias("n_citations"), F.md5("answer_text").alias("answer_md5"))
+
+
+def pipe_b3_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _brief(pipelines.hybrid_pipeline(_corpus(spark, sf_dir), _questions(spark, sf_dir)))
+
+
+def pipe_b5_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _brief(pipelines.graph_pipeline(_corpus(spark, sf_dir), _questions(spark, sf_dir)))
+
+
+def pipe_b6_graph_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _brief(pipelines.graph_hybrid_pipeline(_corpus(spark, sf_dir), _questions(spark, sf_dir)))
+
+
+def pipe_d_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out questions, sent to handlers in turn."""
+    kinds = F.array(*[F.lit(k) for k in pipelines.HANDLERS])
+    q = _questions(spark, sf_dir).withColumn("query_type", F.get(kinds, (F.col("query_id") % len(pipelines.HANDLERS)).cast("int")))
+    out = pipelines.dispatch(_corpus(spark, sf_dir), q, pipelines.Hooks(foreign_signals=[("(?i)code civil français", "fr:code")]))
+    return out.select("query_id", "handler", "abstention", "abstention_reason", F.size("citations").alias("n_citations"))
+
+
 def _latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "article")
     return a.groupBy("doc_id", "eid").agg(F.max_by("text_ar", "ordinal").alias("text")).select(F.concat_ws("#", "doc_id", "eid").alias("article"), "text")
@@ -159,7 +188,7 @@ def agg21_signal_families(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (ret1_index_terms, ret2_bm25_topk, ret4_dense_topk, ret5_sparse_topk, ret6_maxsim_topk, agg1_rrf, agg4_document_scores, agg8_first_hits, pipe_b1_answers, pipe_b4_reranked, kg1_pattern, kg5_token_search, jn3_existence_gate, jn5_span_gate, jn6_version_in_force, jn10_audit, agg17_documents, agg18_registry_docs, agg18_registry_keys, flt8_signals, agg21_signal_families)
+    for f in (ret1_index_terms, ret2_bm25_topk, ret4_dense_topk, ret5_sparse_topk, ret6_maxsim_topk, agg1_rrf, agg4_document_scores, agg8_first_hits, pipe_b1_answers, pipe_b3_hybrid, pipe_b4_reranked, pipe_b5_graph, pipe_b6_graph_hybrid, pipe_d_dispatch, kg1_pattern, kg5_token_search, jn3_existence_gate, jn5_span_gate, jn6_version_in_force, jn10_audit, agg17_documents, agg18_registry_docs, agg18_registry_keys, flt8_signals, agg21_signal_families)
 }
 
 _B10, _B20 = bm25_cte(10), bm25_cte(20)
