@@ -17,6 +17,8 @@ def build_session(app: str = "mizan", master: str | None = None, **conf: str) ->
     defaults = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # small tables of long texts: bytes say little about the work, so all cores get a share
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
