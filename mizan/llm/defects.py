@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,7 @@ MAKES_WAY = re.compile(
 )
 # -----------------------------------------------------------------------------------------------
 
+_SAID = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"[.!?؟\n]+")
 _MARKS = re.compile("[ؐ-ًؚ-ٰٟـ̀-ͯ]")
 _ALEF = str.maketrans("أإآٱىؤئة", "اااايويه")
@@ -73,13 +75,15 @@ def letters_of(text: str) -> str:
 
 
 def is_empty(answer: str | None) -> bool:
+    if next(islice(_SAID.finditer(answer or ""), 3, None), None):
+        return False  # four words are no placeholder
     said = "".join(c for c in answer or "" if c.isalnum()).lower()
     return said == "" or said in PLACEHOLDERS
 
 
 def is_copy(query: str | None, answer: str) -> bool:
     """The query once or twice, perhaps after a label, and nothing else."""
-    if not query or len(answer) > 4 * len(query) + 80:
+    if not query or len(answer) > 3 * len(query) + 60:
         return False
     q = letters_of(query)
     if not q:
@@ -211,24 +215,33 @@ class _Words:
     def __init__(self):
         self.memo: dict[str, bytes] = {}
 
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words of all texts one after the other, whether each ends a sentence, whether it is the first
+        of its text, and the number of words of each text."""
         if len(self.memo) > 300_000:
             self.memo.clear()
-        raw = text.replace("\n", " \n ").split(" ")
+        raw = " \x00 ".join([*((t or "").replace("\x00", " ").replace("\n", " \n ") for t in texts), ""]).split(" ")
         for w in set(raw) - self.memo.keys():
-            if w == "\n":
-                self.memo[w] = np.array([[0, 1]], np.uint64).tobytes()
+            if w in ("\n", "\x00"):
+                # number 0 parts lines and texts
+                self.memo[w] = np.array([[0, 1 if w == "\n" else 2]], np.uint64).tobytes()
                 continue
             found = _WORDS.findall(w.lower())
             ends = bool(_FULL_STOP.search(w)) and ".." not in w
             self.memo[w] = np.array([[_hash("0" if x.isdigit() else x), ends and k + 1 == len(found)] for k, x in enumerate(found)], np.uint64).reshape(-1, 2).tobytes()
         a = np.frombuffer(b"".join(map(self.memo.__getitem__, raw)), np.uint64).reshape(-1, 2)
-        line = np.flatnonzero(a[:, 0] == 0)
-        if len(line):
-            a = a.copy()
-            a[line[line > 0] - 1, 1] = 1
-            a = a[a[:, 0] != 0]
-        return a[:, 0], a[:, 1].astype(bool)
+        word, flag = a[:, 0], a[:, 1]
+        ends = flag == 1
+        lines = np.flatnonzero((word == 0) & (flag == 1))
+        ends[lines[lines > 0] - 1] = True
+        is_word = word != 0
+        after = np.flatnonzero((word == 0) & (flag == 2))
+        upto = np.cumsum(is_word)[after] if len(after) else np.zeros(0, np.int64)
+        size = np.diff(np.concatenate([[0], upto]))
+        words, ends = word[is_word], ends[is_word]
+        first = np.zeros(len(words), bool)
+        first[(upto - size)[size > 0]] = True
+        return words, ends, first, size
 
 
 def _pair(u: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -248,8 +261,7 @@ def frequent_words(pairs: DataFrame, answer: str) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for b in batches:
-            some = [words(t)[0] for t in b.column(0).to_pylist() if t]
-            w, n = np.unique(np.concatenate(some) if some else np.zeros(0, np.uint64), return_counts=True)
+            w, n = np.unique(words(b.column(0).to_pylist())[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n.astype(np.int64))], names=["w", "n"])
 
     counted = pairs.select(answer).mapInArrow(run, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
@@ -268,23 +280,18 @@ def end_counts(pairs: DataFrame, answer: str, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, frequent = _Words(), shared.value[0]
         for b in batches:
-            hs, es = [], []
-            for t in b.column(0).to_pylist():
-                w, e = words(t) if t else (np.zeros(0, np.uint64), None)
-                if len(w) < 2:
-                    continue
-                w = _fold(w, frequent)
-                keep = slice(None) if e[-1] else slice(0, -1)
-                before = np.concatenate([[START], w[:-1]])
-                hs += [w[keep].view(np.int64), _pair(before, w)[keep]]
-                es += [e[keep], e[keep]]
-            if hs:
-                h, inv = np.unique(np.concatenate(hs), return_inverse=True)
-                e = np.concatenate(es)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h), pa.array(np.bincount(inv, minlength=len(h)).astype(np.int64)), pa.array(np.bincount(inv, weights=e, minlength=len(h)).astype(np.int64))],
-                    names=["h", "n_all", "n_end"],
-                )
+            w, e, first, size = words(b.column(0).to_pylist())
+            w = _fold(w, frequent)
+            keep = np.ones(len(w), bool)
+            last = np.cumsum(size)[size > 0] - 1
+            keep[last[~e[last]]] = False
+            before = np.where(first, START, np.roll(w, 1)) if len(w) else w
+            h, inv = np.unique(np.concatenate([w[keep].view(np.int64), _pair(before, w)[keep]]), return_inverse=True)
+            es = np.concatenate([e[keep], e[keep]])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h), pa.array(np.bincount(inv, minlength=len(h)).astype(np.int64)), pa.array(np.bincount(inv, weights=es, minlength=len(h)).astype(np.int64))],
+                names=["h", "n_all", "n_end"],
+            )
 
     part = pairs.select(answer).mapInArrow(run, "h bigint, n_all bigint, n_end bigint")
     return part.groupBy("h").agg(F.sum("n_all").alias("n_all"), F.sum("n_end").alias("n_end"))
@@ -319,6 +326,7 @@ def find_defects(pairs: DataFrame, key: str = "prediction_id", query: str = "que
                 each = np.array([asked[qs[k] or ""] for k in open_], np.int64)
                 lq, leadq = (x[each] for x in languages.judge(list(asked)))
                 la, leada = languages.judge([ans[k] for k in open_])
+                undecided: list[int] = []
                 differ = (lq != la) & (lq >= 0) & (la >= 0) & (leadq >= MIN_LEAD) & (leada >= MIN_LEAD)
                 for k, other in zip(open_, differ):
                     if other:
@@ -330,11 +338,14 @@ def find_defects(pairs: DataFrame, key: str = "prediction_id", query: str = "que
                         rows.append(k)
                         out.append(("truncated", None, None, None, None))
                     elif broken is None:
-                        w = _fold(words(ans[k].rstrip("… .\"'»”’"))[0], frequent)
-                        if len(w):
-                            u = w[-2:-1] if len(w) > 1 else np.array([START])
-                            rows.append(k)
-                            out.append((None, int(w[-1:].view(np.int64)[0]), int(_pair(u, w[-1:])[0]), int(u.view(np.int64)[0]), bool(w[-1] == RARE)))
+                        undecided.append(k)
+                w, _, _, size = words([ans[k].rstrip("… .\"'»”’") for k in undecided])
+                w = _fold(w, frequent)
+                for k, n, z in zip(undecided, size, np.cumsum(size)):
+                    if n:
+                        last, u = w[z - 1 : z], w[z - 2 : z - 1] if n > 1 else np.array([START])
+                        rows.append(k)
+                        out.append((None, int(last.view(np.int64)[0]), int(_pair(u, last)[0]), int(u.view(np.int64)[0]), bool(last[0] == RARE)))
                 cols = [b.column(0).take(pa.array(rows, pa.int64()))]
                 cols += [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))]
                 yield pa.RecordBatch.from_arrays(cols, names=[key, "defect", "h1", "h2", "hu", "rare"])
