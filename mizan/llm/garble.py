@@ -192,6 +192,18 @@ _UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf
 _ARABIC, _CYRILLIC = re.compile("[\u0600-\u06ff]"), re.compile("[\u0400-\u045f]")
 
 
+def _undo_valid(text: str, raw: bytes) -> str:
+    """`text` with only its valid UTF-8 sequences undone; one byte stands for one character."""
+    out, done = [], 0
+    for m in _UTF8.finditer(raw):
+        try:
+            out += [text[done : m.start()], m[0].decode("utf_8")]
+        except UnicodeDecodeError:
+            continue
+        done = m.end()
+    return "".join([*out, text[done:]])
+
+
 def inverse(run: str, model: PairModel) -> tuple[str, float] | None:
     """The most probable reading of a run by inverse mappings, if one holds, and its gain."""
     before = None
@@ -213,24 +225,29 @@ def inverse(run: str, model: PairModel) -> tuple[str, float] | None:
                     continue
                 if right == "utf_8" and not _UTF8.search(raw):
                     continue
-                out = raw.decode(right, "replace")
-                lost = out.count("�") - text.count("�")
-                if out in seen or lost > MAX_LOST * len(out):
-                    continue
-                seen.add(out)
-                if right == "utf_8" and depth + 1 < MAX_DEPTH:
-                    todo.append((out, depth + 1))
-                if not _PLAUSIBLE.fullmatch(out) or _MIXED.search(out) or (lost and right != "utf_8"):
-                    continue
-                if right != "utf_8" and any(a != b and not (b.isalpha() or b in "’‘“”«»،؛؟") for a, b in zip(text, out)):
-                    continue
-                before = model.quality(run) if before is None else before
-                after = model.quality(out)
-                gain = after - before
-                # a whole run that reads as UTF-8 is evidence by itself
-                holds = gain >= -MIN_GAIN / 2 if right == "utf_8" and not lost else after >= MIN_RESULT and gain >= MIN_GAIN
-                if holds and (best is None or gain > best[1]):
-                    best = (out, gain)
+                whole = raw.decode(right, "replace")
+                outs = [whole]
+                if right == "utf_8" and not arabic and "�" in whole:
+                    # sound Latin letters beside damaged ones: undo only what is valid by itself
+                    outs.append(_undo_valid(text, raw))
+                for out in outs:
+                    lost = out.count("�") - text.count("�")
+                    if out in seen or lost > MAX_LOST * len(out):
+                        continue
+                    seen.add(out)
+                    if right == "utf_8" and depth + 1 < MAX_DEPTH:
+                        todo.append((out, depth + 1))
+                    if not _PLAUSIBLE.fullmatch(out) or _MIXED.search(out) or (lost and right != "utf_8"):
+                        continue
+                    if right != "utf_8" and any(a != b and not (b.isalpha() or b in "’‘“”«»،؛؟") for a, b in zip(text, out)):
+                        continue
+                    before = model.quality(run) if before is None else before
+                    after = model.quality(out)
+                    gain = after - before
+                    # a whole run that reads as UTF-8 is evidence by itself
+                    holds = gain >= -MIN_GAIN / 2 if right == "utf_8" and not lost else after >= MIN_RESULT and gain >= MIN_GAIN
+                    if holds and (best is None or gain > best[1]):
+                        best = (out, gain)
     return best
 
 
