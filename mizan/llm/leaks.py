@@ -5,8 +5,9 @@ an index of four 16-bit blocks. Two fingerprints that differ in at most three bi
 block, so the index finds all of them. Windows are this short so that every passage of fifteen words
 of which about one in ten was replaced, or is followed by an added mark, still holds an unharmed
 window. Each hit names an offset between document and item; hits at neighbouring offsets (added
-words shift them) are laid together, and the exact word-by-word overlay decides: the best stretch of
-item words, weighted by how rare a word is among the items, must be long and alike enough.
+words shift them) are laid together, and the exact word-by-word overlay decides: some run of fifteen
+item words or more, replaced words near its ends included, must be alike enough, each word weighted
+by how rare it is among the items.
 
 The held-out items are the stated query set: they travel to the tasks in blocks of bounded size; the
 corpus is read in place, never shuffled, and nothing of it reaches the driver.
@@ -31,11 +32,11 @@ from pyspark.sql import functions as F
 
 #: Words per window, bits per fingerprint block, and the largest distance that must be found.
 WINDOW, BLOCK_BITS, RADIUS = 5, 16, 3
-#: A leaked passage: item words, overlay score (match +1, miss -1.5), and weighted similarity.
-MIN_WORDS, MIN_SCORE, MIN_SIMILARITY = 15, 10.0, 0.82
+#: A leaked passage: item words, and similarity. Its extent: match +1, miss -1.5.
+MIN_WORDS, MIN_SIMILARITY = 15, 0.82
 MISS = 1.5
-#: Offsets this close belong to one overlay.
-BAND = 3
+#: Offsets this close belong to one overlay, and how far beside them words are compared.
+BAND, BESIDE = 3, 2
 #: Items per pass over the corpus, words per indexed item part and their overlap.
 ITEMS_PER_PASS, PART_WORDS, PART_OVERLAP = 5_000, 256, 64
 #: Documents per vectorised step, and raw words whose normal form a task keeps.
@@ -141,8 +142,10 @@ def hits(numbers: np.ndarray, ix: ItemIndex) -> tuple[np.ndarray, np.ndarray]:
 
 
 def overlays(numbers: np.ndarray, doc: np.ndarray, ix: ItemIndex) -> tuple[np.ndarray, ...]:
-    """Best stretch of every overlay: (doc, part, item words, score, weighted similarity).
+    """Best stretch of every overlay: (doc, part, item words, matched share, weighted share).
 
+    The shares are those of the most alike run of MIN_WORDS item words or more. A longer run of some
+    share always holds one of under twice MIN_WORDS with that share, so only such are tried.
     `numbers` are the words of several texts, `doc` the text of each word; texts are parted by
     WINDOW words numbered 0 and of no text.
     """
@@ -160,23 +163,44 @@ def overlays(numbers: np.ndarray, doc: np.ndarray, ix: ItemIndex) -> tuple[np.nd
     new[1:] = (keys[1:, 0] != keys[:-1, 0]) | (keys[1:, 1] != keys[:-1, 1]) | (keys[1:, 2] - keys[:-1, 2] > BAND)
     first = np.flatnonzero(new)
     items = ix.words[keys[:, 1]]
-    at = keys[:, 2, None] + np.arange(PART_WORDS)
-    inside = (at >= 0) & (at < len(numbers))
-    at = np.clip(at, 0, len(numbers) - 1)
-    same = inside & (items > 0) & (numbers[at] == items) & (doc[at] == keys[:, :1])
+    # words before the first added mark and after the last one lie beside the offsets that were hit
+    padded = np.concatenate([np.zeros(BESIDE + PART_WORDS, np.int32), numbers, np.zeros(BESIDE + PART_WORDS, np.int32)])
+    texts = np.concatenate([np.full(BESIDE + PART_WORDS, -1, doc.dtype), doc, np.full(BESIDE + PART_WORDS, -1, doc.dtype)])
+    from_ = keys[:, 2, None] + BESIDE + PART_WORDS
+    same = np.zeros(items.shape, bool)
+    for beside in range(-BESIDE, BESIDE + 1):
+        at = from_ + np.arange(beside, PART_WORDS + beside)
+        same |= (padded[at] == items) & (texts[at] == keys[:, :1])
+    same &= items > 0
     same = np.logical_or.reduceat(same, first, axis=0)
+    some = np.flatnonzero(same.sum(axis=1) >= MIN_SIMILARITY * MIN_WORDS)
+    same, first = same[some], first[some]
     part = keys[first, 1]
     score = np.where(same, np.float32(1), np.float32(-MISS))
     total = np.concatenate([np.zeros((len(first), 1), np.float32), np.cumsum(score, axis=1)], axis=1)
     lowest = np.minimum.accumulate(total, axis=1)
     end = np.argmax(total - lowest, axis=1)
     rows = np.arange(len(first))
-    best = total[rows, end] - lowest[rows, end]
     begin = np.argmax(total == lowest[rows, end][:, None], axis=1)
-    stretch = (np.arange(PART_WORDS) >= begin[:, None]) & (np.arange(PART_WORDS) < end[:, None])
-    weight = ix.weight[part]
-    alike = (weight * (stretch & same)).sum(axis=1) / np.maximum((weight * stretch).sum(axis=1), 1e-9)
-    return keys[first, 0], part, end - begin, best, alike
+    n = end - begin
+    length = (ix.words[part] > 0).sum(axis=1)
+    sums = lambda x: np.concatenate([np.zeros((len(x), 1)), np.cumsum(x, axis=1)], axis=1)
+    matched, weight, weighed = sums(same), sums(ix.weight[part]), sums(ix.weight[part] * same)
+    share, alike, words = np.zeros(len(first)), np.zeros(len(first)), np.zeros(len(first), np.int64)
+    for size in range(MIN_WORDS, 2 * MIN_WORDS):
+        inside = np.arange(PART_WORDS + 1 - size) + size <= length[:, None]
+        m = np.where(inside, matched[:, size:] - matched[:, :-size], 0)
+        at = np.argmax(m, axis=1)
+        better = m[rows, at] / size > share
+        share = np.where(better, m[rows, at] / size, share)
+        words = np.where(better, size, words)
+        alike = np.where(better, (weighed[rows, at + size] - weighed[rows, at]) / np.maximum(weight[rows, at + size] - weight[rows, at], 1e-9), alike)
+    return keys[first, 0], part, np.maximum(n, words), share, alike
+
+
+def leaked(words: np.ndarray, share: np.ndarray, alike: np.ndarray) -> np.ndarray:
+    """Which overlays are leaks."""
+    return (words >= MIN_WORDS) & (share >= MIN_SIMILARITY) & (alike >= MIN_SIMILARITY)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", passages: tuple[str, ...] = ("question", "ground_truth_answer")) -> DataFrame:
@@ -215,8 +239,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
                         owner += [np.full(len(v), k, np.int32), np.full(WINDOW, -1, np.int32)]
                     if not parts or not len(ix.fingerprints):
                         continue
-                    d, part, n, score, alike = overlays(np.concatenate(parts), np.concatenate(owner), ix)
-                    good = (n >= MIN_WORDS) & (score >= MIN_SCORE) & (alike >= MIN_SIMILARITY)
+                    d, part, n, share, alike = overlays(np.concatenate(parts), np.concatenate(owner), ix)
+                    good = leaked(n, share, alike)
                     if good.any():
                         yield pa.RecordBatch.from_arrays(
                             [b.column(0).take(pa.array(d[good])), pa.array(ix.ids[part[good]]), pa.array(n[good].astype(np.int32)), pa.array(alike[good].astype(np.float64))],

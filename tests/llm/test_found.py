@@ -180,6 +180,20 @@ def test_leaks(spark):
     assert leaks.find_leaks(docs, its.filter(F.lit(False))).count() == 0
 
 
+@pytest.mark.parametrize("at", [(0,), (1,), (13,), (14,), (0, 1), (1, 13), (13, 14), (6, 14)])
+def test_leaks_of_fifteen_words_damaged_near_their_ends(at):
+    words = [f"w{k}" for k in range(60)]
+    ix = leaks.build_index([(7, " ".join(words))])
+    swapped = [f"other{k}" if k in at else w for k, w in enumerate(words[20:35])]
+    marked = [x for k, w in enumerate(words[20:35]) for x in ([w, "mark"] if k in at else [w])]
+    for text in (swapped, marked):
+        numbers = np.array([ix.vocabulary.get(w, 0) for w in ["x"] * 9 + text + ["y"] * 9], np.int32)
+        _, part, n, share, alike = leaks.overlays(numbers, np.zeros(len(numbers), np.int32), ix)
+        assert leaks.leaked(n, share, alike).any(), text
+    short = np.array([ix.vocabulary.get(w, 0) for w in ["x"] * 9 + words[20:32] + ["y"] * 9], np.int32)
+    assert not leaks.leaked(*leaks.overlays(short, np.zeros(len(short), np.int32), ix)[2:]).any()
+
+
 def test_index_finds_all_within_radius():
     rnd = np.random.default_rng(3)
     items = [(i, " ".join(f"w{rnd.integers(0, 12)}" for _ in range(20))) for i in range(20)]
