@@ -6,8 +6,9 @@ block, so the index finds all of them. Windows are this short so that every pass
 of which about one in ten was replaced, or is followed by an added mark, still holds an unharmed
 window. Each hit names an offset between document and item; hits at neighbouring offsets (added
 words shift them) are laid together, and the exact word-by-word overlay decides: some run of fifteen
-item words or more, replaced words near its ends included, must be alike enough, each word weighted
-by how rare it is among the items.
+item words or more, replaced words near its ends included, must be alike enough. Every word counts
+the same, so that it does not matter which ones were replaced; but where another item of the same
+pass matches more of those words of the text, the likeness is one of pattern and is no leak.
 
 The held-out items are the stated query set: they travel to the tasks in blocks of bounded size; the
 corpus is read in place, never shuffled, and nothing of it reaches the driver.
@@ -32,8 +33,9 @@ from pyspark.sql import functions as F
 
 #: Words per window, bits per fingerprint block, and the largest distance that must be found.
 WINDOW, BLOCK_BITS, RADIUS = 5, 16, 3
-#: A leaked passage: item words, and similarity. Its extent: match +1, miss -1.5.
-MIN_WORDS, MIN_SIMILARITY = 15, 0.82
+#: A leaked passage: item words, and share of them that match: at most two of 15 to 19 words, three
+#: of 20 to 26 are damaged, which always leaves a whole window. Its extent: match +1, miss -1.5.
+MIN_WORDS, MIN_SIMILARITY = 15, 0.85
 MISS = 1.5
 #: Offsets this close belong to one overlay, and how far beside them words are compared.
 BAND, BESIDE = 3, 2
@@ -62,7 +64,6 @@ class ItemIndex:
     ids: np.ndarray  # item id of each part
     vocabulary: dict[str, int]  # word -> number, from 1
     words: np.ndarray  # parts x PART_WORDS, 0 where a part has ended
-    weight: np.ndarray  # rarity of those words
     signs: np.ndarray  # word number x 64, -1 or 1; number 0 (any other word) is all 0
     fingerprints: np.ndarray
     part: np.ndarray  # of each window
@@ -93,11 +94,6 @@ def build_index(items: list[tuple[int, str]]) -> ItemIndex:
     table = np.zeros((len(parts), PART_WORDS), np.int32)
     for k, (_, ws) in enumerate(parts):
         table[k, : len(ws)] = [vocabulary[w] for w in ws]
-    df = np.ones(len(vocabulary) + 1)
-    for _, ws in texts:
-        df[[vocabulary[w] for w in set(ws)]] += 1
-    weight = np.log1p(len(texts) / df)
-    weight[0] = 0
     signs = np.zeros((len(vocabulary) + 1, 64), np.int8)
     for w, k in vocabulary.items():
         bits = np.frombuffer(hashlib.blake2b(w.encode(), digest_size=8).digest(), np.uint8)
@@ -116,7 +112,7 @@ def build_index(items: list[tuple[int, str]]) -> ItemIndex:
         o = np.argsort(v, kind="stable")
         order.append(o.astype(np.int32))
         starts.append(np.searchsorted(v[o], np.arange((1 << BLOCK_BITS) + 1)))
-    return ItemIndex(np.array([i for i, _ in parts], np.int64), vocabulary, table, weight[table].astype(np.float32), signs, fp, cat(part, np.int32), cat(position, np.int32), np.array(starts), np.array(order))
+    return ItemIndex(np.array([i for i, _ in parts], np.int64), vocabulary, table, signs, fp, cat(part, np.int32), cat(position, np.int32), np.array(starts), np.array(order))
 
 
 def hits(numbers: np.ndarray, ix: ItemIndex) -> tuple[np.ndarray, np.ndarray]:
@@ -142,10 +138,11 @@ def hits(numbers: np.ndarray, ix: ItemIndex) -> tuple[np.ndarray, np.ndarray]:
 
 
 def overlays(numbers: np.ndarray, doc: np.ndarray, ix: ItemIndex) -> tuple[np.ndarray, ...]:
-    """Best stretch of every overlay: (doc, part, item words, matched share, weighted share).
+    """Best stretch of every overlay: (doc, part, item words, matched share, lead).
 
-    The shares are those of the most alike run of MIN_WORDS item words or more. A longer run of some
-    share always holds one of under twice MIN_WORDS with that share, so only such are tried.
+    The share is that of the most alike run of MIN_WORDS item words or more. A longer run of some
+    share always holds one of under twice MIN_WORDS with that share, so only such are tried. The
+    lead is how many more words of the document the item matches there than any other alike item.
     `numbers` are the words of several texts, `doc` the text of each word; texts are parted by
     WINDOW words numbered 0 and of no text.
     """
@@ -184,9 +181,8 @@ def overlays(numbers: np.ndarray, doc: np.ndarray, ix: ItemIndex) -> tuple[np.nd
     begin = np.argmax(total == lowest[rows, end][:, None], axis=1)
     n = end - begin
     length = (ix.words[part] > 0).sum(axis=1)
-    sums = lambda x: np.concatenate([np.zeros((len(x), 1)), np.cumsum(x, axis=1)], axis=1)
-    matched, weight, weighed = sums(same), sums(ix.weight[part]), sums(ix.weight[part] * same)
-    share, alike, words = np.zeros(len(first)), np.zeros(len(first)), np.zeros(len(first), np.int64)
+    matched = np.concatenate([np.zeros((len(first), 1)), np.cumsum(same, axis=1)], axis=1)
+    share, words, where = np.zeros(len(first)), np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
     for size in range(MIN_WORDS, 2 * MIN_WORDS):
         inside = np.arange(PART_WORDS + 1 - size) + size <= length[:, None]
         m = np.where(inside, matched[:, size:] - matched[:, :-size], 0)
@@ -194,13 +190,35 @@ def overlays(numbers: np.ndarray, doc: np.ndarray, ix: ItemIndex) -> tuple[np.nd
         better = m[rows, at] / size > share
         share = np.where(better, m[rows, at] / size, share)
         words = np.where(better, size, words)
-        alike = np.where(better, (weighed[rows, at + size] - weighed[rows, at]) / np.maximum(weight[rows, at + size] - weight[rows, at], 1e-9), alike)
-    return keys[first, 0], part, np.maximum(n, words), share, alike
+        where = np.where(better, at, where)
+    lead = np.zeros(len(first), np.int64)
+    last = np.append(np.flatnonzero(new)[1:], len(keys))[some]
+    good = np.flatnonzero(share >= MIN_SIMILARITY)
+    of_doc: dict[int, list[int]] = {}
+    for k in good:
+        of_doc.setdefault(int(keys[first[k], 0]), []).append(int(k))
+    for ks in of_doc.values():
+        if len({int(ix.ids[part[k]]) for k in ks}) < 2:
+            continue
+        covered = {k: _covered(keys[first[k] : last[k], 2], padded, texts, keys[first[k], 0], ix.words[part[k]]) for k in ks}
+        for k in ks:
+            a, b = keys[first[k], 2] + where[k], keys[last[k] - 1, 2] + where[k] + words[k]
+            count = {j: int(((covered[j] >= a) & (covered[j] < b)).sum()) for j in ks}
+            lead[k] = count[k] - max([count[j] for j in ks if ix.ids[part[j]] != ix.ids[part[k]]], default=0)
+    return keys[first, 0], part, np.maximum(n, words), share, lead
+
+
+def _covered(offsets: np.ndarray, padded: np.ndarray, texts: np.ndarray, doc: int, item: np.ndarray) -> np.ndarray:
+    """Words of the text that an item part matches at some of the offsets or beside them."""
+    at = np.unique(offsets[:, None] + np.arange(-BESIDE, BESIDE + 1))[:, None] + np.arange(PART_WORDS)
+    padding = BESIDE + PART_WORDS
+    return np.unique(at[(padded[at + padding] == item) & (texts[at + padding] == doc) & (item > 0)])
 
 
-def leaked(words: np.ndarray, share: np.ndarray, alike: np.ndarray) -> np.ndarray:
-    """Which overlays are leaks."""
-    return (words >= MIN_WORDS) & (share >= MIN_SIMILARITY) & (alike >= MIN_SIMILARITY)
+def leaked(words: np.ndarray, share: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """Which overlays are leaks. Damage is judged by the number of words alone, however rare; where
+    the words of one item fill what is amiss with another, the text is alike only in pattern."""
+    return (words >= MIN_WORDS) & (share >= MIN_SIMILARITY) & (lead >= 0)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", passages: tuple[str, ...] = ("question", "ground_truth_answer")) -> DataFrame:
@@ -239,11 +257,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
                         owner += [np.full(len(v), k, np.int32), np.full(WINDOW, -1, np.int32)]
                     if not parts or not len(ix.fingerprints):
                         continue
-                    d, part, n, share, alike = overlays(np.concatenate(parts), np.concatenate(owner), ix)
-                    good = leaked(n, share, alike)
+                    d, part, n, share, lead = overlays(np.concatenate(parts), np.concatenate(owner), ix)
+                    good = leaked(n, share, lead)
                     if good.any():
                         yield pa.RecordBatch.from_arrays(
-                            [b.column(0).take(pa.array(d[good])), pa.array(ix.ids[part[good]]), pa.array(n[good].astype(np.int32)), pa.array(alike[good].astype(np.float64))],
+                            [b.column(0).take(pa.array(d[good])), pa.array(ix.ids[part[good]]), pa.array(n[good].astype(np.int32)), pa.array(share[good].astype(np.float64))],
                             names=[key, item_key, "n_words", "similarity"],
                         )
 

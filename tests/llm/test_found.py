@@ -194,6 +194,25 @@ def test_leaks_of_fifteen_words_damaged_near_their_ends(at):
     assert not leaks.leaked(*leaks.overlays(short, np.zeros(len(short), np.int32), ix)[2:]).any()
 
 
+def test_leaks_whose_rare_words_are_replaced_and_likeness_of_pattern():
+    frame = [f"w{k}" for k in range(13)]
+    fill = lambda a, b: " ".join([*frame[:4], a, *frame[4:9], b, *frame[9:]])
+    # the frame is common to forty items, what fills it to none
+    items = [(k, " ".join(f"i{k}x{j}" for j in range(10)) + " " + fill(f"a{k}", f"b{k}")) for k in range(40)]
+    ix = leaks.build_index(items)
+
+    def found(text):
+        numbers = np.array([ix.vocabulary.get(w, 0) for w in text.split()], np.int32)
+        _, part, n, share, lead = leaks.overlays(numbers, np.zeros(len(numbers), np.int32), ix)
+        return set(ix.ids[part[leaks.leaked(n, share, lead)]].tolist())
+
+    # rare words replaced: six weigh as much as thirteen common ones, two of twenty are one in ten
+    rare = " ".join([*items[3][1].split()[3:8], "new", *items[3][1].split()[9:14], "new", *items[3][1].split()[15:23]])
+    assert found(rare) == {3}
+    # the words of item 5 fill the frame: no leak of the others
+    assert found(fill("a5", "b5")) == {5}
+
+
 def test_index_finds_all_within_radius():
     rnd = np.random.default_rng(3)
     items = [(i, " ".join(f"w{rnd.integers(0, 12)}" for _ in range(20))) for i in range(20)]
