@@ -1,6 +1,8 @@
 """Text that was decoded with the wrong character encoding, found and, where possible, undone.
 
-Adjacent characters are counted over the whole corpus. A pair's score is its share in the corpus's
+Adjacent characters are counted over the whole corpus, without those that look like damage by
+themselves: the bytes of a readable UTF-8 character under some code page, and words of Latin letters
+with marks. So damage that is frequent stays improbable. A pair's score is its share in the corpus's
 mutual information, p(ab) log p(ab)/p(a)p(b) with the logarithm held within bounds, against the share that is usual for the corpus: common
 combinations score above zero, combinations that the corpus hardly knows below. The maximum-scoring
 segments of the negated scores are the improbable runs. Only there are inverse mappings tried: the
@@ -42,6 +44,8 @@ READ_AS = ("cp1252", "mac_roman", "cp850", "cp437", "cp1251", "cp1256", "latin_1
 #: Encodings they were written in.
 WRITTEN_IN = ("utf_8", "cp1256", "iso8859_6", "mac_roman", "cp850", "cp1252")
 MAX_DEPTH = 3
+#: What readable text holds above ASCII: Latin, Greek, Cyrillic, Arabic, and their punctuation.
+READABLE = ((0xA0, 0x250), (0x370, 0x460), (0x600, 0x700), (0x2010, 0x203B), (0x20AC, 0x20AD), (0x2116, 0x2117), (0x2122, 0x2123))
 
 
 @lru_cache(maxsize=1)
@@ -66,22 +70,85 @@ def _testable() -> np.ndarray:
     return out
 
 
+def _points(texts: list[str | None]) -> np.ndarray:
+    """Code points of all texts, each between blanks."""
+    joined = " " + " ".join(t or "" for t in texts) + " "
+    return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def _codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Classes of all characters, each text between blanks, and where each text starts."""
-    joined = " " + " ".join(t or "" for t in texts) + " "
     at = np.cumsum([1, *(len(t or "") + 1 for t in texts)])
-    return _classes()[0][np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)], at
+    return _classes()[0][_points(texts)], at
+
+
+@lru_cache(maxsize=1)
+def _pages() -> list[np.ndarray]:
+    """Per encoding of READ_AS: byte of every code point of the basic plane, 0 where it has none."""
+    out = []
+    for codec in READ_AS:
+        page = np.zeros(0x10000, np.uint8)
+        for c, b in _writer(codec).items():
+            page[c] = b
+        out.append(page)
+    return out
+
+
+@lru_cache(maxsize=1)
+def _readable() -> np.ndarray:
+    """Code points above ASCII of the basic plane that restored text may hold."""
+    out = np.zeros(0x10000, bool)
+    for a, b in READABLE:
+        out[a:b] = True
+    return out
+
+
+def damage(point: np.ndarray) -> np.ndarray:
+    """Which of the code points look like damage by themselves, whatever their frequency: those
+    that under some code page are the bytes of a readable UTF-8 character, and words of which
+    three letters in a row are Latin ones with marks, as Arabic read by single bytes gives."""
+    out = np.zeros(len(point), bool)
+    high = (point >= 0x80) & (point < 0x10000)
+    # no code page has a plain Arabic letter where UTF-8 has the second byte of a character
+    at = np.flatnonzero(high[:-1] & high[1:] & ~((point[1:] >= 0x621) & (point[1:] <= 0x652)))
+    if not len(at):
+        return out
+    a, b = point[at], point[at + 1]
+    c = np.where(at + 2 < len(point), point[np.minimum(at + 2, len(point) - 1)], 0)
+    c[c >= 0x10000] = 0
+    for page in _pages():
+        x, y, z = page[a].astype(np.int32), page[b].astype(np.int32), page[c].astype(np.int32)
+        second = (y >= 0x80) & (y < 0xC0)
+        two = (x >= 0xC2) & (x < 0xE0) & second & _readable()[(x & 0x1F) << 6 | y & 0x3F]
+        three = (x >= 0xE0) & (x < 0xF0) & second & (z >= 0x80) & (z < 0xC0) & _readable()[(x & 0xF) << 12 | (y & 0x3F) << 6 | z & 0x3F]
+        some = at[two | three]
+        out[some] = out[some + 1] = True
+        out[at[three] + 2] = True
+    marked = (point >= 0xC0) & (point < 0x180)
+    row = at[marked[at] & marked[at + 1]]
+    row = row[(row + 2 < len(point)) & marked[np.minimum(row + 2, len(point) - 1)]]
+    if len(row):
+        blank = np.flatnonzero((point == 0x20) | (point == 0x0A))
+        word = np.unique(np.searchsorted(blank, row))
+        edges = np.concatenate([[-1], blank, [len(point)]])
+        for k in word:
+            out[edges[k] + 1 : edges[k + 1]] = True
+    return out
 
 
 def pair_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """a, b, n: how often a character of class b follows one of class a, over all texts."""
+    """a, b, n: how often a character of class b follows one of class a, over all texts. What looks
+    like damage by itself is not counted, or damage of one kind in many texts would look usual."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2_000):
-                code, _ = _codes(whole.slice(at, 2_000).column(0).to_pylist())
+                texts = whole.slice(at, 2_000).column(0).to_pylist()
+                code, _ = _codes(texts)
+                sound = ~damage(_points(texts))
                 seen, small = np.unique(code, return_inverse=True) if len(code) < 1 << 16 else _compact(code)
-                n = np.bincount(small[:-1].astype(np.int64) * len(seen) + small[1:], minlength=1)
+                both = small[:-1].astype(np.int64) * len(seen) + small[1:]
+                n = np.bincount(both[sound[:-1] & sound[1:]], minlength=1)
                 some = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(seen[some // len(seen)].astype(np.int32)), pa.array(seen[some % len(seen)].astype(np.int32)), pa.array(n[some].astype(np.int64))], names=["a", "b", "n"]
@@ -204,6 +271,14 @@ def _undo_valid(text: str, raw: bytes) -> str:
     return "".join([*out, text[done:]])
 
 
+def _in_words(text: str, out: str) -> bool:
+    """Whether what a single-byte page changes lies in words for the greater part: any sign that
+    stands alone would read as some letter."""
+    changed = [k for k, (a, b) in enumerate(zip(text, out)) if a != b]
+    inside = sum(out[max(k - 1, 0) : k].isalpha() or out[k + 1 : k + 2].isalpha() for k in changed)
+    return inside > 0 and 2 * inside >= len(changed)
+
+
 def inverse(run: str, model: PairModel) -> tuple[str, float] | None:
     """The most probable reading of a run by inverse mappings, if one holds, and its gain."""
     before = None
@@ -241,6 +316,8 @@ def inverse(run: str, model: PairModel) -> tuple[str, float] | None:
                         continue
                     if right != "utf_8" and any(a != b and not (b.isalpha() or b in "’‘“”«»،؛؟") for a, b in zip(text, out)):
                         continue
+                    if right != "utf_8" and not _in_words(text, out):
+                        continue
                     before = model.quality(run) if before is None else before
                     after = model.quality(out)
                     gain = after - before

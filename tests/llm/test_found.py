@@ -244,3 +244,29 @@ def test_garble(spark):
     assert set(got) == set(bad)
     assert got[1000] == a and got[1001] == a and got[1003] == a and got[1007] == a
     assert garble.find_garbled(df.filter(F.lit(False))).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["cp1252", "mac_roman", "cp1256", "single"])
+def test_garble_of_a_third_of_the_rows(kind):
+    rnd = random.Random(12)
+    ar = "يجب على صاحب العمل أن يسلم شهادة العمل إلى الأجير قبل انتهاء العقد ويترتب على المخالفة غرامة في حالة القوة القاهرة".split()
+    fr = "le vendeur doit présenter la déclaration à la conservation foncière dès la publication du règlement intérieur été".split()
+    read = lambda raw, page: "".join(chr(b) if (c := bytes([b]).decode(page, "replace")) == "�" else c for b in raw)
+    harm = lambda t: read(t.encode("cp1256"), "cp1252") if kind == "single" else read(t.encode(), kind)
+    line = lambda b, n=25: " ".join(rnd.choice(b) for _ in range(n)) + "."
+    texts = [line(ar) if k % 3 else line(fr) if k % 2 else line(ar) for k in range(300)]
+    bad = [harm(line(ar)) for _ in range(150)]
+    stretch = []
+    for _ in range(150):
+        w = line(ar).split()
+        stretch.append(" ".join([*w[:9], harm(" ".join(w[9:12])), *w[12:]]))
+    good = ["\xa0", "Ø 120 mm, Ù, Û, ß, Ð, œuvre, Ÿ", line(fr) + " Ø 8 mm, Ù, Û, ß, Ð, œuvre, Ÿ"]
+    every = [*texts, *bad, *stretch, *good]
+    code, _ = garble._codes(every)
+    sound = ~garble.damage(garble._points(every))
+    both = sound[:-1] & sound[1:]
+    pair, n = np.unique(np.stack([code[:-1][both], code[1:][both]]), axis=1, return_counts=True)
+    model = garble.PairModel(pair[0], pair[1], n.astype(float))
+    found = [garble.repair(t, garble._codes([t])[0], model)[0] for t in every]
+    assert not any(found[: len(texts)]) and not any(found[-len(good) :])
+    assert all(found[len(texts) : -len(good)])
