@@ -57,7 +57,9 @@ MAKES_WAY = re.compile(
 )
 # -----------------------------------------------------------------------------------------------
 
-_SAID = re.compile(r"[^\W_]+")
+#: Letters of the longest label, at least.
+LABEL_LETTERS = 10
+_SAID, _LETTER = re.compile(r"[^\W_]+"), re.compile(r"[^\W_ـ]")
 _SENTENCE = re.compile(r"[.!?؟\n]+")
 _MARKS = re.compile("[ؐ-ًؚ-ٰٟـ̀-ͯ]")
 _ALEF = str.maketrans("أإآٱىؤئة", "اااايويه")
@@ -83,11 +85,13 @@ def is_empty(answer: str | None) -> bool:
 
 def is_copy(query: str | None, answer: str) -> bool:
     """The query once or twice, perhaps after a label, and nothing else."""
-    if not query or len(answer) > 3 * len(query) + 60:
-        return False
-    q = letters_of(query)
+    q = letters_of(query or "")
     if not q:
         return False
+    # marks, signs and strokes may make a copy of any length; its letters are bounded
+    most = 2 * len(q) + LABEL_LETTERS * (1 + answer.count("\n"))
+    if len(answer) > most and next(islice(_LETTER.finditer(answer), most, None), None):
+        return False
     for a in {letters_of(answer), letters_of(LABEL.sub("", answer)), letters_of("\n".join(LABEL.sub("", x) for x in answer.split("\n")))}:
         if a == q or a == q + q:
             return True

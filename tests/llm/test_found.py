@@ -96,6 +96,14 @@ def test_simple_defects():
     assert defects.is_broken("Fini.") is False and defects.is_broken("sans point") is None and defects.is_broken("(art. 5)") is False
 
 
+def test_copies_of_any_length():
+    q = "هل يجوز للمدين أن يودع العقد لدى كتابة الضبط قبل انتهاء الأجل المحدد في المادة الخامسة من القانون؟ " * 3
+    vowels = "".join(c + "َّ" if c.isalpha() else c for c in q)
+    stretched, spread = "".join(c + "ـ" * 5 if c.isalpha() else c for c in q), " \n ".join(q.split()) + " . " * 200
+    assert all(defects.is_copy(q, a) for a in [vowels * 2, stretched, spread, "السؤال: " + vowels + "\n" + "السؤال: " + vowels])
+    assert not any(defects.is_copy(q, a) for a in [vowels * 3, vowels * 2 + " نعم", q + " نعم يجوز ذلك." * 50])
+
+
 def test_language_and_truncation(spark):
     rnd = random.Random(6)
     fr, en = ["le vendeur doit payer la facture", "il est tenu de remettre le contrat de bail"], ["the seller must pay the invoice", "they are required to deliver the lease contract"]
