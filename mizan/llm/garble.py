@@ -19,6 +19,7 @@ length of a text matters to nothing.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -201,28 +202,33 @@ class PairModel:
 
     def segments(self, code: np.ndarray, breaks: np.ndarray) -> list[tuple[int, int, float]]:
         """(first, past the last pair, score) of the best segment of every excursion of the
-        negated scores above zero; no segment crosses a break. Segments that hold nothing but ASCII
-        and plain Arabic letters are left out: no inverse mapping applies to them."""
+        negated scores above zero, and of what follows it in the excursion; no segment crosses a
+        break. Segments that hold nothing but ASCII and plain Arabic letters are left out: no
+        inverse mapping applies to them."""
         s = -self.pairs(code)
         s[breaks[breaks < len(s)]] = -1e6
-        total = np.cumsum(s, dtype=np.float64)
-        low = np.minimum.accumulate(np.concatenate([[0.0], total[:-1]]))
-        high = total - low
-        up = high > 0
-        begin = np.flatnonzero(up & ~np.concatenate([[False], up[:-1]]))
-        if not len(begin):
-            return []
-        peak = np.maximum.reduceat(np.where(up, high, 0), begin)
-        some = np.flatnonzero(peak >= MIN_SEGMENT)
-        ends = np.append(begin[1:], len(s))
         odd = np.concatenate([[0], np.cumsum(_testable()[code])])
-        out = []
-        for k in some:
-            a = int(begin[k])
-            b = a + int(np.argmax(high[a : ends[k]])) + 1
-            if odd[b + 1] > odd[a]:
-                out.append((a, b, float(peak[k])))
-        return out
+        out, todo = [], [(0, len(s))]
+        while todo:
+            first, last = todo.pop()
+            total = np.cumsum(s[first:last], dtype=np.float64)
+            low = np.minimum.accumulate(np.concatenate([[0.0], total[:-1]]))
+            high = total - low
+            up = high > 0
+            begin = np.flatnonzero(up & ~np.concatenate([[False], up[:-1]]))
+            if not len(begin):
+                continue
+            peak = np.maximum.reduceat(np.where(up, high, 0), begin)
+            ends = np.append(begin[1:], last - first)
+            for k in np.flatnonzero(peak >= MIN_SEGMENT):
+                a = first + int(begin[k])
+                b = a + int(np.argmax(high[begin[k] : ends[k]])) + 1
+                end = first + int(ends[k])
+                if odd[b + 1] > odd[a]:
+                    out.append((a, b, float(peak[k])))
+                if odd[end] > odd[b]:
+                    todo.append((b, end))
+        return sorted(out)
 
 
 class _Strict(dict):
@@ -250,12 +256,15 @@ def _bytes_of(text: str, codec: str) -> bytes | None:
         return None
 
 
-_MIXED = re.compile("[A-Za-zÀ-ɏ][؀-ۿͰ-ԯ]|[؀-ۿͰ-ԯ][A-Za-zÀ-ɏ]|[Ͱ-ԯ][؀-ۿ]|[؀-ۿ][Ͱ-ԯ]")
+# letters of two scripts side by side; Arabic commas and digits may follow any letter
+_MIXED = re.compile("[A-Za-zÀ-ɏ][ء-ۓͰ-ԯ]|[ء-ۓͰ-ԯ][A-Za-zÀ-ɏ]|[Ͱ-ԯ][ء-ۓ]|[ء-ۓ][Ͱ-ԯ]")
 
 
 # what restored text may consist of: Latin, Greek, Cyrillic, Arabic, and their punctuation
 _PLAUSIBLE = re.compile("[\t\n -~\u00a0-\u024f\u0370-\u045f\u0600-\u06ff\u2010-\u203a\u20ac\u2116\u2122\ufffd]*")
 _UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
+# what else a damaged letter may have been: signs, vowel marks
+_SIGNS = frozenset("’‘“”«»،؛؟ـًٌٍَُِّْ")
 _ARABIC, _CYRILLIC = re.compile("[\u0600-\u06ff]"), re.compile("[\u0400-\u045f]")
 
 
@@ -279,13 +288,15 @@ def _in_words(text: str, out: str) -> bool:
     return inside > 0 and 2 * inside >= len(changed)
 
 
-def inverse(run: str, model: PairModel) -> tuple[str, float] | None:
-    """The most probable reading of a run by inverse mappings, if one holds, and its gain."""
+def inverse(run: str, model: PairModel) -> tuple[str, float, tuple[str, ...]] | None:
+    """The most probable reading of a run by inverse mappings, if one holds, its gain, and the
+    encodings in order: read in, written in, and so on."""
     before = None
-    best: tuple[str, float] | None = None
-    todo, seen = [(run, 0)], {run}
+    best: tuple[str, float, tuple[str, ...]] | None = None
+    todo, seen = [(run, ())], {run}
     while todo:
-        text, depth = todo.pop()
+        text, path = todo.pop()
+        depth = len(path) // 2
         arabic, cyrillic = _ARABIC.search(text), _CYRILLIC.search(text)
         for wrong in READ_AS:
             # of the code pages only these have letters of those scripts
@@ -295,8 +306,9 @@ def inverse(run: str, model: PairModel) -> tuple[str, float] | None:
             if raw is None or raw.isascii():
                 continue
             for right in WRITTEN_IN:
-                # within one script single-byte code pages are too much alike to tell apart
-                if right == wrong or ((depth or arabic) and right != "utf_8"):
+                # within one script single-byte code pages are too much alike to tell apart, unless
+                # one of them left Latin letters inside Arabic words
+                if right == wrong or (arabic and right != "utf_8" and not (right == "iso8859_6" and _MIXED.search(text))):
                     continue
                 if right == "utf_8" and not _UTF8.search(raw):
                     continue
@@ -311,10 +323,10 @@ def inverse(run: str, model: PairModel) -> tuple[str, float] | None:
                         continue
                     seen.add(out)
                     if right == "utf_8" and depth + 1 < MAX_DEPTH:
-                        todo.append((out, depth + 1))
+                        todo.append((out, (*path, wrong, right)))
                     if not _PLAUSIBLE.fullmatch(out) or _MIXED.search(out) or (lost and right != "utf_8"):
                         continue
-                    if right != "utf_8" and any(a != b and not (b.isalpha() or b in "’‘“”«»،؛؟") for a, b in zip(text, out)):
+                    if right != "utf_8" and any(a != b and not (b.isalpha() or b in _SIGNS) for a, b in zip(text, out)):
                         continue
                     if right != "utf_8" and not _in_words(text, out):
                         continue
@@ -324,13 +336,36 @@ def inverse(run: str, model: PairModel) -> tuple[str, float] | None:
                     # a whole run that reads as UTF-8 is evidence by itself
                     holds = gain >= -MIN_GAIN / 2 if right == "utf_8" and not lost else after >= MIN_RESULT and gain >= MIN_GAIN
                     if holds and (best is None or gain > best[1]):
-                        best = (out, gain)
+                        best = (out, gain, (*path, wrong, right))
     return best
 
 
+def _changes(word: str, fixed: tuple[str, float, tuple[str, ...]]) -> bool:
+    """Whether a word's reading rests on more than single letters: UTF-8 bytes come in sequences, of
+    a single-byte page two neighbouring letters must change."""
+    if fixed[2][-1] == "utf_8":
+        return True
+    same = [a == b for a, b in zip(word, fixed[0])]
+    return any(not a and not b for a, b in zip(same, same[1:]))
+
+
+def _by_words(run: str, model: PairModel) -> str | None:
+    """A run that holds sound words beside damaged ones: the words that one and the same chain of
+    mappings explains, if the run as a whole gains by it."""
+    words = run.split(" ")
+    fixed = [None if w.isascii() or len(w) < 2 else inverse(w, model) for w in words]
+    fixed = [f if f and _changes(w, f) else None for w, f in zip(words, fixed)]
+    chains = Counter(f[2] for f in fixed if f)
+    if not chains:
+        return None
+    chain = max(chains, key=lambda c: (chains[c], c))
+    new = " ".join(f[0] if f and f[2] == chain else w for w, f in zip(words, fixed))
+    return new if model.quality(new) > model.quality(run) else None
+
+
 _LOST_SIGN = re.compile("[^\\W\\d_]�|�[^\\W\\d_]|��")
 _ASKED = re.compile(r"(?<![^\s(«\"])(?:\?+[ .,:;\n]*){2,}")
-_INSIDE = re.compile(r"[a-zà-ÿ]\?[a-zà-ÿ]{2}|[ء-ي]\?[ء-ي]")
+_INSIDE = re.compile(r"[a-zà-ÿ]\?[a-zà-ÿ]{2}|[A-ZÀ-Þ]\?[A-ZÀ-Þ]{2}|[ء-ي]\?[ء-ي]")
 
 
 def lost_letters(text: str) -> bool:
@@ -370,30 +405,31 @@ def repair(text: str, code: np.ndarray, model: PairModel) -> tuple[bool, str]:
     breaks = np.flatnonzero(code == _classes()[0][0x0A])
     runs: list[list[int]] = []
     for a, b, _ in model.segments(code, breaks):
-        # pairs a..b cover the characters a-1 .. b-1 of the text; widen to blanks
+        # pairs a..b cover the characters a-1 .. b-1 of the text; widen to whole words
         lo, hi = max(0, min(a - 1, len(text))), min(len(text), b)
+        while lo < hi and text[lo] in " \n":
+            lo += 1
+        while hi > lo and text[hi - 1] in " \n":
+            hi -= 1
+        if lo == hi:
+            continue
         while lo > 0 and text[lo - 1] not in " \n":
             lo -= 1
         while hi < len(text) and text[hi] not in " \n":
             hi += 1
-        while lo < hi and text[lo] in " \n":
-            lo += 1
         if runs and lo <= runs[-1][1] + 1 and "\n" not in text[runs[-1][1] : lo]:
             runs[-1][1] = max(runs[-1][1], hi)
-        elif lo < hi:
+        else:
             runs.append([lo, hi])
     for lo, hi in runs:
         run = text[lo:hi]
         if run.isascii():
             continue
         fixed = inverse(run, model)
-        if fixed is None and " " in run:
-            words = [(w, None if w.isascii() or len(w) < 2 else inverse(w, model)) for w in run.split(" ")]
-            if any(f for _, f in words):
-                fixed = (" ".join(f[0] if f else w for w, f in words), 0.0)
-        if fixed is not None:
+        new = fixed[0] if fixed else _by_words(run, model) if " " in run else None
+        if new is not None:
             found = True
-            out += [text[done:lo], fixed[0]]
+            out += [text[done:lo], new]
             done = hi
     return found or lost_letters(text), "".join([*out, text[done:]]) if out else text
 

@@ -278,3 +278,46 @@ def test_garble_of_a_third_of_the_rows(kind):
     found = [garble.repair(t, garble._codes([t])[0], model)[0] for t in every]
     assert not any(found[: len(texts)]) and not any(found[-len(good) :])
     assert all(found[len(texts) : -len(good)])
+
+
+def _model(texts):
+    code, _ = garble._codes(texts)
+    sound = ~garble.damage(garble._points(texts))
+    both = sound[:-1] & sound[1:]
+    pair, n = np.unique(np.stack([code[:-1][both], code[1:][both]]), axis=1, return_counts=True)
+    return garble.PairModel(pair[0], pair[1], n.astype(float))
+
+
+def test_restoration_in_a_mixed_corpus():
+    rnd = random.Random(5)
+    banks = [
+        "يجب على صاحب العمل أن يسلم شهادة العمل إلى الأجير قبل انتهاء العقد ويترتب على المخالفة غرامة في حالة القوة القاهرة".split(),
+        "le vendeur doit présenter la déclaration à la conservation foncière dès la publication du règlement intérieur été".split(),
+        "a administração não altera a prestação anual após a notificação da petição de revisão".split(),
+        "der Käufer muß die Gebühr für die Prüfung der Grundstücke über die Behörde zahlen".split(),
+        "комиссия проверяет список требований до начала работ и сообщает о решении".split(),
+    ]
+    line = lambda b, n=25: " ".join(rnd.choice(b) for _ in range(n)) + "."
+    model = _model([line(banks[k % 5]) for k in range(1000)])
+    ar = line(banks[0], 8)
+    utf = lambda t, page="cp1252": "".join(chr(b) if (c := bytes([b]).decode(page, "replace")) == "�" else c for b in t.encode())
+    single = ar.encode("cp1256").decode("cp1252")
+    cases = {
+        # a damaged line before a sound one, a sound sentence before a damaged one
+        utf(ar) + "\n" + ar: ar + "\n" + ar,
+        ar + " " + utf(ar): ar + " " + ar,
+        # a Latin name beside an Arabic comma; vowel marks; two stretches in one line
+        utf(f"{ar} HMB، {ar}"): f"{ar} HMB، {ar}",
+        "المصدّر مؤمَّن يجب على صاحب العمل".encode("cp1256").decode("cp1252"): "المصدّر مؤمَّن يجب على صاحب العمل",
+        f"le vendeur doit {utf('présenter')} la facture du vendeur doit {utf('été')} la": "le vendeur doit présenter la facture du vendeur doit été la",
+        # a single-byte page, then UTF-8
+        utf(single): ar,
+    }
+    for bad, sound in cases.items():
+        found, fixed = garble.repair(bad, garble._codes([bad])[0], model)
+        assert found and fixed == sound, bad
+    for t in ["Ø 120 mm, Ù, Û, ß, Ð, œuvre, Ÿ", *(line(b) + " Ø 8 mm, Ù, Û, ß, Ð, œuvre, Ÿ" for b in banks), *(line(b) for b in banks)]:
+        assert not garble.repair(t, garble._codes([t])[0], model)[0], t
+    shifted = line(banks[0]).encode("iso8859_6").decode("cp1256")
+    assert garble.repair(shifted, garble._codes([shifted])[0], model)[0]
+    assert garble.lost_letters("R?PUBLIQUE") and not garble.lost_letters("/a?b=C / is it? yes")
