@@ -4,8 +4,11 @@ Kinds, in the order in which they are tried: `empty` (nothing said), `copy` (the
 `refusal` (every sentence declines or makes way), `other_language`, `truncated`.
 
 Languages are compared by a naive Bayes model of hashed character n-grams, counted over all labelled
-rows into a table of fixed size: a pair counts if the model is sure of both sides and they differ. Quoted
-terms do not count. Truncation is judged by how probable it is that a text ends after its last two
+rows into a table of fixed size per label: a pair counts if each side prefers its own best label
+clearly to the other side's. Every label is kept, however rare; two labels of one language never
+differ clearly. Quoted terms do not count. Refusals are known by fixed phrases and, in whatever
+language, by a naive Bayes model of words: answers of rows with the abstain flag against all others.
+Truncation is judged by how probable it is that a text ends after its last two
 words: how often the corpus, all of it, ends a sentence there, and how often it has such a word
 there at all. Rare words (names, and words broken off) count as one. Open brackets, list marks
 without an item and dangling commas or hyphens tell by themselves.
@@ -31,11 +34,13 @@ from mizan.session import materialise
 
 #: Hashed n-grams that the language model knows.
 GRAM_BITS = 16
-#: Rows and share of rows that a label needs to become a language (so there are 200 at most).
-MIN_LABEL_ROWS, MIN_LABEL_SHARE = 20, 0.005
 #: Letters that a text needs, and the least lead per n-gram, to be judged.
 MIN_LETTERS, MIN_LEAD = 12, 0.15
-#: Words rarer than this share of all words (and than RARE_COUNT) count as one rare word.
+#: Hashed words and pairs of words that the refusal model knows, weight of what both classes share, and
+#: the least lead per word pair of an answer and of each of its sentences.
+WORD_BITS, SHARED, MIN_REFUSAL, MIN_SENTENCE = 16, 200.0, 2.0, 0.5
+#: Words rarer than this share of all words (and than RARE_COUNT, which rules below 600,000 words) count
+#: as one rare word. The share, not the size of the corpus, decides: 200,000 words at most are frequent.
 RARE_SHARE, RARE_COUNT = 5e-6, 3
 #: An end is a break if its probability, or that of a rare word in its place, is below.
 MIN_END, MIN_RARE, BACK_OFF = 0.01, 0.01, 20
@@ -55,6 +60,8 @@ DECLINES = re.compile(
 MAKES_WAY = re.compile(
     r"^(?:يرجى|أرجو|فأرجو|حاول|هل من|هل لديك|عذرا|المعذرة|أعتذر|للأسف|شكرا|آسف|veuillez|avez-vous|reformulez|adressez-vous|merci|désolé|navré|pardon|je regrette|please|is there|do you have|try|sorry|thank|unfortunately)", re.I
 )
+#: After these a sentence that declined goes on to answer.
+HOWEVER = re.compile(r"لكن|غير أن|إلا أن|بيد أن|\b(?:mais|toutefois|cependant|néanmoins|but|however|nevertheless)\b", re.I)
 # -----------------------------------------------------------------------------------------------
 
 #: Letters of the longest label, at least.
@@ -65,6 +72,7 @@ _MARKS = re.compile("[ؐ-ًؚ-ٰٟـ̀-ͯ]")
 _ALEF = str.maketrans("أإآٱىؤئة", "اااايويه")
 _QUOTED = re.compile("«[^«»]*»|\"[^\"\n]*\"|“[^“”]*”")
 _OPEN = {"(": ")", "[": "]", "{": "}", "«": "»", "“": "”"}
+_BRACKET = {a: re.compile(f"[{re.escape(a + b)}]") for a, b in _OPEN.items()}
 _LIST_MARK = re.compile(r"(?:^|\n)\s*(?:\d{1,3}\s*[-.)/]|[ء-ي]\s*[-.)/]|[A-Za-z]\s*[-.)]|[-•*–])\s*$")
 _DANGLING = re.compile(r"[,،;؛:\-–—/]\s*$")
 
@@ -98,30 +106,59 @@ def is_copy(query: str | None, answer: str) -> bool:
     return False
 
 
-def is_refusal(answer: str) -> bool:
-    """Every sentence declines or makes way, and one declines."""
-    declined = False
+def sentences_of(answer: str) -> Iterator[str]:
+    """Sentences with letters, one by one: most answers are settled by their first."""
     start = 0
     while start < len(answer):
-        # sentence by sentence: most answers are settled by their first
         m = _SENTENCE.search(answer, start)
         s, start = (answer[start : m.start()], m.end()) if m else (answer[start:], len(answer))
         s = s.strip()
-        if not any(c.isalnum() for c in s):
-            continue
-        if DECLINES.search(s) and len(s) < 200:
+        if any(c.isalnum() for c in s):
+            yield s
+
+
+def declines(sentence: str) -> bool:
+    """A phrase that declines, after which the sentence does not turn to an answer. What it quotes is
+    not its own; a turn to another phrase that declines is none."""
+    s = _QUOTED.sub(" ", sentence)
+    last = None
+    for last in DECLINES.finditer(s):
+        pass
+    return last is not None and not HOWEVER.search(s, last.end())
+
+
+def is_refusal(answer: str) -> bool:
+    """Every sentence declines or makes way, and one declines."""
+    declined = False
+    for s in sentences_of(answer):
+        if declines(s):
             declined = True
         elif not MAKES_WAY.search(s):
             return False
     return declined
 
 
+def _unclosed(t: str) -> bool:
+    """Whether a bracket is left open by the last line, or by the text after its last closing one."""
+    for a, b in _OPEN.items():
+        if a not in t or t.count(a) <= t.count(b) and "\n" not in t:
+            continue
+        if t.count(a) > t.count(b) and t.rfind(a) > t.rfind(b):
+            return True
+        depth = 0
+        for m in _BRACKET[a].finditer(t, t.rfind("\n") + 1):
+            depth = depth + 1 if m[0] == a else max(0, depth - 1)
+        if depth:
+            return True
+    return False
+
+
 def is_broken(answer: str) -> bool | None:
     """True: broken off beyond doubt; False: ends like a sentence; None: the last words must tell."""
     t = answer.rstrip()
     if _LIST_MARK.search(t) or _DANGLING.search(t):
         return True
-    if any(t.count(a) > t.count(b) and t.rfind(a) > t.rfind(b) for a, b in _OPEN.items()):
+    if _unclosed(t):
         return True
     end = t.rstrip("\"'»”’ ")
     if end.endswith(("…", "..")):
@@ -151,26 +188,30 @@ class LanguageModel:
         n = 1 << GRAM_BITS
         self.order = [np.log((counts[:, o] + 0.05) / (counts[:, o].sum(axis=1, keepdims=True) + 0.05 * n)).astype(np.float32) for o in range(2)]
 
-    def judge(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Best label of each text and its lead over the next, per n-gram; -1 where too short."""
-        if len(self.labels) < 2 or not texts:
-            return np.full(len(texts), -1), np.zeros(len(texts))
+    def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """labels x texts: mean log likelihood per n-gram; and which texts are long enough to judge."""
+        if not texts:
+            return np.zeros((len(self.labels), 0)), np.zeros(0, bool)
         g, starts = gram_codes(texts)
         length = np.diff(np.append(starts, g.shape[1]))
         score = sum(np.add.reduceat(self.order[o][:, g[o]], starts, axis=1) for o in range(2)) / np.maximum(length, 1)
-        rank = np.sort(score, axis=0)
-        best = np.argmax(score, axis=0)
-        best[length < MIN_LETTERS] = -1
-        return best, rank[-1] - rank[-2]
+        return score, length >= MIN_LETTERS
+
+
+def differ(query: np.ndarray, answer: np.ndarray) -> np.ndarray:
+    """Which pairs of scores (labels x pairs each) are of two languages: each side prefers its own best
+    label to the other's by MIN_LEAD."""
+    if len(query) < 2:
+        return np.zeros(query.shape[1], bool)
+    at, q, a = np.arange(query.shape[1]), query.argmax(axis=0), answer.argmax(axis=0)
+    return (query[q, at] - query[a, at] >= MIN_LEAD) & (answer[a, at] - answer[q, at] >= MIN_LEAD)
 
 
 def fit_languages(pairs: DataFrame, query: str, answer: str, label: str) -> LanguageModel:
-    """Counts of all labelled rows, summed in Spark; the sums that come back have a fixed bound."""
+    """Counts of all labelled rows, summed in Spark; what comes back is bounded by the labels (half a
+    megabyte each)."""
     named = pairs.select(F.lower(F.trim(label)).alias("label"), F.coalesce(answer, query).alias("text")).filter("text is not null and label <> ''")
-    per_label = named.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    total = per_label.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("s"))
-    kept = per_label.filter(F.col("n") >= MIN_LABEL_ROWS).join(F.broadcast(total), F.col("n") >= F.col("s") * MIN_LABEL_SHARE)
-    labels = sorted(r.label for r in kept.select("label").collect())
+    labels = sorted(r.label for r in named.select("label").distinct().collect())
     number = {x: k for k, x in enumerate(labels)}
     n = 1 << GRAM_BITS
 
@@ -181,8 +222,7 @@ def fit_languages(pairs: DataFrame, query: str, answer: str, label: str) -> Lang
                 b = whole.slice(at, STEP_ROWS)
                 by: dict[int, list[str]] = {}
                 for x, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    if x in number:
-                        by.setdefault(number[x], []).append(t)
+                    by.setdefault(number[x], []).append(t)
                 for k, ts in by.items():
                     g, _ = gram_codes(ts)
                     own = sums.setdefault(k, np.zeros((2, n), np.int64))
@@ -192,10 +232,10 @@ def fit_languages(pairs: DataFrame, query: str, answer: str, label: str) -> Lang
             at = np.flatnonzero(own.ravel())
             yield pa.RecordBatch.from_arrays([pa.array((at + k * 2 * n).astype(np.int64)), pa.array(own.ravel()[at])], names=["at", "n"])
 
-    part = named.filter(F.col("label").isin(labels) if labels else F.lit(False)).mapInArrow(run, "at bigint, n bigint")
+    part = named.mapInArrow(run, "at bigint, n bigint")
     table = np.zeros(len(labels) * 2 * n)
-    for r in [part.groupBy("at").agg(F.sum("n").alias("n")).toArrow()]:
-        table[r["at"].to_numpy()] = r["n"].to_numpy()
+    r = part.groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    table[r["at"].to_numpy()] = r["n"].to_numpy()
     return LanguageModel(labels, table.reshape(len(labels), 2, n))
 
 
@@ -259,20 +299,71 @@ def _fold(words: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.where(frequent[at] == words, words, RARE)
 
 
-def frequent_words(pairs: DataFrame, answer: str) -> np.ndarray:
-    """Sorted numbers of the words above the rare share; at most 1 / RARE_SHARE of them."""
+class RefusalModel:
+    """Naive Bayes of hashed words and pairs of words: answers that came with an abstain flag against
+    the rest. What both classes lack tells nothing."""
+
+    def __init__(self, counts: np.ndarray):
+        """counts: other or abstained x words."""
+        total = counts.sum(axis=1, keepdims=True)
+        shared = SHARED * counts.sum(axis=0) / max(counts.sum(), 1)
+        p = (counts + shared) / (total + SHARED)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            lead = np.where(shared > 0, np.log(p[1] / p[0]), 0.0)
+        self.lead = lead.astype(np.float32) if total.min() > 0 else np.zeros(counts.shape[1], np.float32)
+
+    def refuses(self, words: np.ndarray, ends: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Which texts read like abstentions: clearly as a whole, and in every sentence."""
+        out = np.zeros(len(size), bool)
+        if not len(words):
+            return out
+        opens = first | np.concatenate([[False], ends[:-1]])
+        one, two = word_codes(words, opens)
+        lead = self.lead[one] + np.where(opens, 0, self.lead[two])
+        begin = np.flatnonzero(opens)
+        n = np.diff(np.append(begin, len(words)))
+        sentence = np.add.reduceat(lead, begin) >= MIN_SENTENCE * (2 * n - 1)
+        some = np.flatnonzero(size > 0)
+        start = (np.cumsum(size) - size)[some]
+        whole = np.add.reduceat(lead, start) >= MIN_REFUSAL * (2 * size[some] - np.add.reduceat(opens, start, dtype=np.int64))
+        out[some] = whole & np.logical_and.reduceat(sentence, np.searchsorted(begin, start))
+        return out
+
+
+def word_codes(words: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of words and of pairs with the word before; a word that opens a sentence has no pair."""
+    shift = np.uint64(64 - WORD_BITS)
+    two = _pair(np.roll(words, 1), words).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (words >> shift).astype(np.int64), (two >> shift).astype(np.int64)
+
+
+def fit_words(pairs: DataFrame, answer: str, abstain: str) -> tuple[np.ndarray, RefusalModel]:
+    """Sorted numbers of the words above the rare share, 1 / RARE_SHARE at most, and the refusal model,
+    both from one pass over all answers."""
+    n = 1 << WORD_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
+        number, sums = _Words(), np.zeros(2 * n, np.int64)
         for b in batches:
-            w, n = np.unique(words(b.column(0).to_pylist())[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n.astype(np.int64))], names=["w", "n"])
-
-    counted = pairs.select(answer).mapInArrow(run, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
-    counted = counted.filter(F.col("n") >= RARE_COUNT)
-    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("s"))
-    kept = counted.join(F.broadcast(total), F.col("n") >= F.col("s") * RARE_SHARE).select("w").toPandas()["w"].to_numpy(np.int64)
-    return np.sort(kept.view(np.uint64))
+            words, ends, first, size = number(b.column(0).to_pylist())
+            w, k = np.unique(words, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(w), bool)), pa.array(w.view(np.int64)), pa.array(k.astype(np.int64))], names=["of_model", "w", "n"])
+            if len(words):
+                opens = first | np.concatenate([[False], ends[:-1]])
+                one, two = word_codes(words, opens)
+                at = np.repeat(np.array(b.column(1).to_pylist(), bool), size) * n
+                sums += np.bincount(one + at, minlength=2 * n) + np.bincount((two + at)[~opens], minlength=2 * n)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), bool)), pa.array(at.astype(np.int64)), pa.array(sums[at])], names=["of_model", "w", "n"])
+
+    part = pairs.select(answer, F.coalesce(F.col(abstain), F.lit(False))).mapInArrow(run, "of_model boolean, w bigint, n bigint")
+    counted = materialise(part.groupBy("of_model", "w").agg(F.sum("n").alias("n")).filter(F.col("of_model") | (F.col("n") >= RARE_COUNT)))
+    words = counted.filter("not of_model")
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("s")).first()["s"]
+    frequent = words.filter(F.col("n") >= total * RARE_SHARE).select("w").toArrow()["w"].to_numpy()
+    table, r = np.zeros(2 * n), counted.filter("of_model").select("w", "n").toArrow()
+    table[r["w"].to_numpy()] = r["n"].to_numpy()
+    return np.sort(frequent.astype(np.int64).view(np.uint64)), RefusalModel(table.reshape(2, n))
 
 
 def end_counts(pairs: DataFrame, answer: str, shared) -> DataFrame:
@@ -305,12 +396,12 @@ def find_defects(pairs: DataFrame, key: str = "prediction_id", query: str = "que
     """`key`, defect: each defective pair once."""
     spark = pairs.sparkSession
     asked = pairs.filter(~F.coalesce(F.col(abstain), F.lit(False)) & F.col(key).isNotNull())
-    frequent = frequent_words(pairs, answer)
-    shared = spark.sparkContext.broadcast((frequent, fit_languages(pairs, query, answer, label)))
+    frequent, refusals = fit_words(pairs, answer, abstain)
+    shared = spark.sparkContext.broadcast((frequent, fit_languages(pairs, query, answer, label), refusals))
     kind = pairs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, languages = shared.value
+        frequent, languages, refusals = shared.value
         words = _Words()
         for whole in batches:
             for at in range(0, whole.num_rows, STEP_ROWS):
@@ -319,8 +410,9 @@ def find_defects(pairs: DataFrame, key: str = "prediction_id", query: str = "que
                 rows: list[int] = []
                 out: list[tuple[str | None, int | None, int | None, int | None, bool | None]] = []
                 open_: list[int] = []
+                declined = refusals.refuses(*words(ans))
                 for k, (q, a) in enumerate(zip(qs, ans)):
-                    d = "empty" if is_empty(a) else "copy" if is_copy(q, a) else "refusal" if is_refusal(a) else None
+                    d = "empty" if is_empty(a) else "copy" if is_copy(q, a) else "refusal" if declined[k] or is_refusal(a) else None
                     if d:
                         rows.append(k)
                         out.append((d, None, None, None, None))
@@ -328,11 +420,10 @@ def find_defects(pairs: DataFrame, key: str = "prediction_id", query: str = "que
                         open_.append(k)
                 asked = {q: i for i, q in enumerate(dict.fromkeys(qs[k] or "" for k in open_))}
                 each = np.array([asked[qs[k] or ""] for k in open_], np.int64)
-                lq, leadq = (x[each] for x in languages.judge(list(asked)))
-                la, leada = languages.judge([ans[k] for k in open_])
+                (of_q, long_q), (of_a, long_a) = languages.scores(list(asked)), languages.scores([ans[k] for k in open_])
                 undecided: list[int] = []
-                differ = (lq != la) & (lq >= 0) & (la >= 0) & (leadq >= MIN_LEAD) & (leada >= MIN_LEAD)
-                for k, other in zip(open_, differ):
+                others = differ(of_q[:, each], of_a) & long_q[each] & long_a
+                for k, other in zip(open_, others):
                     if other:
                         rows.append(k)
                         out.append(("other_language", None, None, None, None))
