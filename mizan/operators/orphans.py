@@ -1,14 +1,15 @@
 """References to records that do not exist, as keyed state that advances with the feed.
 
-State holds the deliveries of every parent and the orphans found so far. A step takes what arrived
-since the last one: new references probe the parents by key, arriving parents resolve the orphans
-that wait for them (`missing` becomes `late`), deletions open them again. Parents are reduced to one
+State holds the deliveries of every parent and all references so far, with their states. A step takes
+what arrived since the last one: new references probe the parents by key, arriving parents resolve the
+orphans that wait for them (`missing` becomes `late`), deletions open them again, sound ones too. However
+the feed is cut into steps, the state after the last is the same. Parents are reduced to one
 row per key before any join, so a key that is delivered or cited very often costs one row on the
 parent side; on the reference side AQE splits it.
 
 States, as of the reference's own time: `missing` no delivery of the key is known; `late` all
 arrived after it; `deleted` some had arrived, all of those were deleted by then. Otherwise the
-reference is sound and is not kept.
+reference is sound: its state is null.
 
 Defined results: a reference with null or empty doc_id or article_ref is none (map entries need a
 doc_id only); repeated rows count once; a null loaded_at counts as there from the start; a reference
@@ -73,46 +74,49 @@ def probe(refs: DataFrame, known: DataFrame) -> DataFrame:
     )
     seen = refs.join(index, KEY, "left").withColumn("ref_state", state).drop("_first", "_open")
     # those that look deleted may still fall into a closed span that held at their time
-    held = [seen[k] == closed[k] for k in KEY] + [seen["ref_state"] == "deleted", closed["_from"] <= seen["ref_time"], closed["_to"] > seen["ref_time"]]
-    condition = held[0]
-    for c in held[1:]:
-        condition = condition & c
-    return seen.join(closed, condition, "left_anti")
+    doubtful = seen.filter("ref_state = 'deleted'")
+    held = F.lit(True)
+    for c in [*(doubtful[k] == closed[k] for k in KEY), closed["_from"] <= doubtful["ref_time"], closed["_to"] > doubtful["ref_time"]]:
+        held = held & c
+    saved = doubtful.join(closed, held, "left_semi").select(*REF, F.lit(None).cast("string").alias("ref_state"))
+    gone = doubtful.join(closed, held, "left_anti").select(*REF, "ref_state")
+    return seen.filter("ref_state is null or ref_state <> 'deleted'").select(*REF, "ref_state").unionByName(saved).unionByName(gone)
 
 
 @dataclass
 class OrphanState:
-    """known: deliveries so far; orphans: REF + ref_state, is_open."""
+    """known: deliveries so far; refs: all references so far, REF + ref_state (null: sound), is_open."""
 
     known: DataFrame
-    orphans: DataFrame
+    refs: DataFrame
+
+    @property
+    def orphans(self) -> DataFrame:
+        return self.refs.filter("ref_state is not null")
 
     @staticmethod
     def empty(like_refs: DataFrame, like_deliveries: DataFrame) -> OrphanState:
         none = F.lit(False)
-        orphans = like_refs.filter(none).select(*REF, F.lit("").alias("ref_state"), none.alias("is_open"))
-        return OrphanState(like_deliveries.filter(none), orphans)
+        refs = like_refs.filter(none).select(*REF, F.lit("").alias("ref_state"), none.alias("is_open"))
+        return OrphanState(like_deliveries.filter(none), refs)
 
 
 def advance(state: OrphanState, new_refs: DataFrame, arrived: DataFrame) -> OrphanState:
-    """The state after a step. `arrived` holds new deliveries, and known ones again once deleted.
+    """The state after a step. `arrived` holds new deliveries, and known ones again once deleted; a
+    deletion holds whichever of the two comes first.
 
-    New references are probed against all that is known; of the waiting orphans only those whose key
-    arrived are looked at again.
+    New references are probed against all that is known, and with them every reference, sound or
+    not, whose key arrived: news that comes late changes what was judged before. The others stay.
     """
-    both = state.known.withColumn("_new", F.lit(False)).unionByName(arrived.withColumn("_new", F.lit(True)))
-    # a delivery that comes again carries its deletion, so the newer row of one arrival holds
-    latest = F.max_by(F.struct("deleted_at"), F.col("_new"))
-    known = both.groupBy("doc_id", "eid", "loaded_at").agg(latest.alias("d")).select("doc_id", "eid", "loaded_at", "d.deleted_at")
+    known = state.known.unionByName(arrived).groupBy("doc_id", "eid", "loaded_at").agg(F.max("deleted_at").alias("deleted_at"))
     touched = arrived.select(*KEY).distinct()
-    waiting = state.orphans.join(touched, KEY, "left_semi")
-    untouched = state.orphans.join(touched, KEY, "left_anti")
-    again = probe(waiting.select(*REF), known)
-    fresh = probe(new_refs.select(*REF), known)
+    again = state.refs.select(*REF).join(touched, KEY, "left_semi")
+    untouched = state.refs.join(touched, KEY, "left_anti")
+    judged = probe(new_refs.select(*REF).unionByName(again.select(*REF)), known)
     alive = known.groupBy(*KEY).agg(F.max(F.col("deleted_at").isNull()).alias("_alive"))
-    found = fresh.unionByName(again).filter("ref_state is not null")
-    opened = found.join(alive, KEY, "left").select(*REF, "ref_state", (~F.coalesce("_alive", F.lit(False))).alias("is_open"))
-    return OrphanState(known, opened.unionByName(untouched.select(*REF, "ref_state", "is_open")))
+    opened = F.col("ref_state").isNotNull() & ~F.coalesce("_alive", F.lit(False))
+    judged = judged.join(alive, KEY, "left").select(*REF, "ref_state", opened.alias("is_open"))
+    return OrphanState(known, judged.unionByName(untouched.select(*REF, "ref_state", "is_open")))
 
 
 def run(refs: DataFrame, articles: DataFrame, steps: int = STEPS) -> tuple[OrphanState, DataFrame | None]:
@@ -139,7 +143,7 @@ def run(refs: DataFrame, articles: DataFrame, steps: int = STEPS) -> tuple[Orpha
         arrived = came.select("doc_id", "eid", "loaded_at", F.when(known_then, F.col("deleted_at")).alias("deleted_at"))
         new_refs = refs.filter(inside("ref_time") | (F.col("ref_time").isNull() if lo is None else F.lit(False)))
         state = advance(state, new_refs, arrived)
-        state = OrphanState(materialise(state.known), materialise(state.orphans))
+        state = OrphanState(materialise(state.known), materialise(state.refs))
         snap = state.orphans.groupBy("src", "ref_state", "is_open").agg(F.count(F.lit(1)).alias("n")).withColumn("step", F.lit(k + 1))
         counts = snap if counts is None else counts.unionByName(snap)
     return state, counts

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -41,7 +42,7 @@ def test_orphans_empty(spark):
 
 
 def test_orphan_stream_resolves_and_reopens(spark, tmp_path):
-    sink = OrphanSink(str(tmp_path))
+    sink = OrphanSink(str(tmp_path), 8)
     cols = ["kind", "src", "owner_key", "doc_id", "article_ref", "eid", "ref_time", "loaded_at", "deleted_at"]
     schema = "kind string, src string, owner_key string, doc_id string, article_ref string, eid string, ref_time timestamp_ntz, loaded_at timestamp_ntz, deleted_at timestamp_ntz"
     batches = [[("ref", "s", "1", "d", "1", "art_1", day(1), None, None)], [("delivery", None, None, "d", None, "art_1", None, day(2), None)], [("delivery", None, None, "d", None, "art_1", None, day(2), day(3))]]
@@ -52,6 +53,63 @@ def test_orphan_stream_resolves_and_reopens(spark, tmp_path):
     assert seen == [[("missing", True)], [("late", False)], [("late", True)]]
 
 
+def news(seed):
+    """References and deliveries of few keys; deletions are rows of their own."""
+    r = random.Random(seed)
+    refs = [("s", str(k), "d", str(e), f"art_{e}", day(r.choice([None, *range(12)]))) for k in range(30) for e in [r.randrange(6)]]
+    rows = [("ref", *x, None, None) for x in refs]
+    for e in range(5):
+        for at in r.sample(range(10), 3):
+            rows.append(("delivery", None, None, "d", None, f"art_{e}", None, day(at), None))
+            if r.random() < 0.6:
+                rows.append(("delivery", None, None, "d", None, f"art_{e}", None, day(at), day(at + r.randrange(1, 5))))
+    r.shuffle(rows)
+    return rows
+
+
+NEWS_SCHEMA = "kind string, src string, owner_key string, doc_id string, article_ref string, eid string, ref_time timestamp_ntz, loaded_at timestamp_ntz, deleted_at timestamp_ntz"
+
+
+def brute_states(rows):
+    """State of every reference from all rows at once."""
+    gone = {}
+    for x in rows:
+        if x[0] == "delivery":
+            gone.setdefault((x[3], x[5], x[7]), []).append(x[8])
+    ends = {k: max((d for d in v if d), default=None) for k, v in gone.items()}
+    out = set()
+    for _, src, owner, d, ref, eid, t, _, _ in (x for x in rows if x[0] == "ref"):
+        mine = {l: e for (dd, ee, l), e in ends.items() if (dd, ee) == (d, eid)}
+        there = [e for l, e in mine.items() if t is not None and l <= t]
+        s = "missing" if not mine else None if t is None else "late" if not there else "deleted" if all(e is not None and e <= t for e in there) else None
+        out.add((owner, s, s is not None and not any(e is None for e in mine.values())))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_orphan_steps_in_any_order_equal_one(spark, tmp_path, seed):
+    rows, sink = news(seed), OrphanSink(str(tmp_path), 8)
+    size = len(rows) // 3 + 1
+    for k in range(3):
+        batch = spark.createDataFrame(rows[k * size : (k + 1) * size], NEWS_SCHEMA)
+        sink(batch, k)
+        if k == 1:
+            sink(batch, k)  # run again after a failure
+    got = [(x.owner_key, x.ref_state, x.is_open) for x in sink.load(spark, 2).refs.collect()]
+    assert len(got) == 30 and set(got) == brute_states(rows)
+
+
+def test_late_deletion_reopens_a_sound_reference(spark, tmp_path):
+    sink = OrphanSink(str(tmp_path), 8)
+    other = [("ref", "s", str(k), "e", str(k), f"art_{k}", day(1), None, None) for k in range(40)]
+    sink(spark.createDataFrame([("ref", "s", "1", "d", "1", "art_1", day(5), None, None), ("delivery", None, None, "d", None, "art_1", None, day(2), None), *other], NEWS_SCHEMA), 0)
+    assert sink.load(spark, 0).orphans.filter("doc_id = 'd'").count() == 0
+    sink(spark.createDataFrame([("delivery", None, None, "d", None, "art_1", None, day(2), day(4))], NEWS_SCHEMA), 1)
+    assert [(x.ref_state, x.is_open) for x in sink.load(spark, 1).orphans.filter("doc_id = 'd'").collect()] == [("deleted", True)]
+    # one bucket was written, the others are still read from the batch before
+    assert sum(v == 1 for _, _, v in sink.manifest(spark, 1)) == 2 and sink.load(spark, 1).refs.count() == 41
+
+
 def test_bm25_pads_and_ranks(spark):
     c = spark.createDataFrame([("a", "قانون العمل"), ("b", "قانون التجارة"), ("c", "نص آخر"), ("d", None)], "chunk_id string, text string")
     q = spark.createDataFrame([(1, "العمل"), (2, "")], "query_id int, query string")
