@@ -10,8 +10,9 @@ so that no task ever sorts a whole cell.
 
 Defined results: a result counts once per id; category values compare trimmed and in lower case,
 null and empty as `unknown`; `*` matches everything. A result in several cells of one request is
-drawn for the cell with the fewest `*`, then the first by name. A cell that holds too few gives all
-it has and is reported; its lack is not made up elsewhere. Empty tables give reports with nothing
+drawn for one of them: the cell with the fewest `*`, then the first by name, unless a max-flow between
+overlapping cells must move it so that more targets are met. A cell that holds too few gives all it
+has and is reported; its lack is not made up elsewhere. Empty tables give reports with nothing
 available and an empty sample.
 """
 
@@ -97,23 +98,67 @@ def controlled_rounding(quota: list[int], have: list[dict[int, int]]) -> list[di
     return [{j: v + (j in up[i]) for j, v in row.items()} for i, row in enumerate(x)]
 
 
+def fill_overlaps(x: list[dict[str, int]], matches: list[dict[str, int]], wanted: list[int]) -> None:
+    """Adds to `x` (cells by combinations) until every cell has `wanted`, or no flow can bring it
+    there: a cell takes what is left of its combinations, or what another cell holds of them and can
+    replace from its own others. No cell that was served loses by it; `matches` holds the supplies."""
+    spare = {c: n for row in matches for c, n in row.items()}
+    for row in x:
+        for c, n in row.items():
+            spare[c] -= n
+    for i, goal in enumerate(wanted):
+        lack = goal - sum(x[i].values())
+        while lack > 0:
+            came: dict[tuple[str, int | str], tuple[str, int | str] | None] = {("cell", i): None}
+            todo, end = deque([("cell", i)]), None
+            while todo:
+                kind, k = at = todo.popleft()
+                if kind == "combo" and spare[k] > 0:
+                    end = at
+                    break
+                step = [("combo", c) for c in sorted(matches[k])] if kind == "cell" else [("cell", r) for r, row in enumerate(x) if row.get(k, 0) > 0]
+                for n in step:
+                    if n not in came:
+                        came[n] = at
+                        todo.append(n)
+            if end is None:
+                break
+            path = [end]
+            while came[path[-1]] is not None:
+                path.append(came[path[-1]])
+            path.reverse()  # cell, combination, cell that holds it, combination, ...
+            amount = min([lack, spare[end[1]], *(x[r][c] for (_, c), (_, r) in zip(path[1::2], path[2::2]))])
+            for (_, r), (_, c) in zip(path[::2], path[1::2]):
+                x[r][c] = x[r].get(c, 0) + amount
+            for (_, c), (_, r) in zip(path[1::2], path[2::2]):
+                x[r][c] -= amount
+            spare[end[1]] -= amount
+            lack -= amount
+
+
 def _round_request(pdf: pd.DataFrame) -> pd.DataFrame:
     """Quotas of one request: its cells by combinations, a table of categories."""
-    pdf = pdf.sort_values(["cell", "combo"], na_position="first", kind="stable").reset_index(drop=True)
+    pdf = pdf[pdf["combo"].notna()].sort_values(["cell", "combo"], kind="stable")
     cells = list(dict.fromkeys(pdf["cell"]))
-    opens = {o: k for k, o in enumerate(dict.fromkeys(pdf["open_part"].dropna()))}
+    opens = {o: k for k, o in enumerate(dict.fromkeys(pdf["open_part"]))}
     have: list[dict[int, int]] = [{} for _ in cells]
+    matches: list[dict[str, int]] = [{} for _ in cells]
+    name: list[dict[int, str]] = [{} for _ in cells]  # within a cell its open part names a combination
     at = {c: k for k, c in enumerate(cells)}
-    for c, o, n in zip(pdf["cell"], pdf["open_part"], pdf["n"]):
-        if o is not None and o == o and n > 0:
-            have[at[c]][opens[o]] = have[at[c]].get(opens[o], 0) + int(n)
+    for c, combo, o, own, n in zip(pdf["cell"], pdf["combo"], pdf["open_part"], pdf["own"], pdf["n"]):
+        matches[at[c]][combo] = int(n)
+        name[at[c]][opens[o]] = combo
+        if own and n > 0:
+            have[at[c]][opens[o]] = int(n)
     needed = pdf.groupby("cell", sort=False)["needed"].first()
-    quota = [min(int(needed[c]), sum(h.values())) for c, h in zip(cells, have)]
-    got = controlled_rounding(quota, have)
-    pdf["quota"] = [
-        got[at[c]].get(opens[o], 0) if o is not None and o == o else 0 for c, o in zip(pdf["cell"], pdf["open_part"])
-    ]
-    return pdf[["request_id", "cell", "combo", "quota"]]
+    wanted = [min(int(needed[c]), sum(m.values())) for c, m in zip(cells, matches)]
+    got = controlled_rounding([min(w, sum(h.values())) for w, h in zip(wanted, have)], have)
+    x = [{name[i][j]: q for j, q in row.items()} for i, row in enumerate(got)]
+    fill_overlaps(x, matches, wanted)
+    rows = [(c, combo, q) for c, row in zip(cells, x) for combo, q in sorted(row.items()) if q > 0]
+    out = pd.DataFrame(rows, columns=["cell", "combo", "quota"])
+    out.insert(0, "request_id", pdf["request_id"].iloc[0] if len(pdf) else None)
+    return out
 
 
 def quotas(people: DataFrame, targets: DataFrame, fields: tuple[str, ...] = FIELDS) -> tuple[DataFrame, DataFrame]:
@@ -147,45 +192,48 @@ def quotas(people: DataFrame, targets: DataFrame, fields: tuple[str, ...] = FIEL
     matched = sized.drop(*fields).join(inside, keys, "left")
     first = F.row_number().over(W.partitionBy("request_id", "combo").orderBy("stars", "cell"))
     open_part = F.to_json(F.array(*[F.when(F.col(k) == "*", F.col(f)).otherwise(F.lit("")) for k, f in zip(keys, fields)]))
-    drawn_from = (
-        matched.withColumn("own", (F.col("combo").isNull()) | (first == 1))
-        .withColumn("open_part", F.when(F.col("combo").isNotNull() & F.col("own"), open_part))
-        .withColumn("n", F.coalesce("n", F.lit(0)))
-    )
     rounded = (
-        drawn_from.select("request_id", "cell", "combo", "open_part", F.when(F.col("own"), F.col("n")).otherwise(0).alias("n"), "needed")
+        matched.filter("combo is not null")
+        .select("request_id", "cell", "combo", open_part.alias("open_part"), (first == 1).alias("own"), "n", "needed")
+        .groupBy("request_id", "cell", "combo")
+        .agg(F.first("open_part").alias("open_part"), F.max("own").alias("own"), F.first("n").alias("n"), F.max("needed").alias("needed"))
         .groupBy("request_id")
         .applyInPandas(_round_request, "request_id bigint, cell string, combo string, quota bigint")
     )
     here = rounded.groupBy("request_id", "cell").agg(F.sum("quota").alias("drawn"))
-    available = matched.groupBy("request_id", "cell").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("available"))
-    report = sized.join(available, ["request_id", "cell"]).join(here, ["request_id", "cell"]).select("request_id", *fields, "sample_size", "needed", "available", "drawn")
-    return report, rounded.filter("combo is not null and quota > 0")
+    available = matched.select("request_id", "cell", "combo", "n").distinct().groupBy("request_id", "cell").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("available"))
+    report = sized.join(available, ["request_id", "cell"]).join(here, ["request_id", "cell"], "left")
+    return report.select("request_id", *fields, "sample_size", "needed", "available", F.coalesce("drawn", F.lit(0)).alias("drawn")), rounded
 
 
 def draw(people: DataFrame, rounded: DataFrame, fields: tuple[str, ...] = FIELDS, seed: int = 20_240_601) -> DataFrame:
-    """request_id, _id, cell of the sampled rows: per entry, exactly its quota of smallest keys."""
+    """request_id, _id, cell of the sampled rows: per entry, exactly its quotas of smallest keys, of
+    several cells one after the other."""
     combo = F.to_json(F.array(*[F.col(f) for f in fields]))
     key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("request_id"), F.col("_id")), 1)
+    entry = ["request_id", "combo"]
     keyed = (
         people.select("_id", combo.alias("combo"))
-        .join(rounded, "combo")
+        .join(rounded.select(*entry).distinct(), "combo")
         .withColumn("key", key)
         .withColumn("bucket", F.shiftright("key", 63 - BUCKET_BITS).cast("int"))
     )
-    entry = ["request_id", "combo"]
-    histogram = keyed.groupBy(*entry, "quota", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    histogram = keyed.groupBy(*entry, "bucket").agg(F.count(F.lit(1)).alias("n"))
     upto = F.sum("n").over(W.partitionBy(*entry).orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))
-    edge = (
+    last = F.sum("quota").over(W.partitionBy(*entry).orderBy("cell").rowsBetween(W.unboundedPreceding, 0))
+    spans = rounded.withColumn("last", last).select(*entry, "cell", "last", (F.col("last") - F.col("quota")).alias("before"))
+    # per bucket the ranks within it that go to a cell
+    shares = (
         histogram.withColumn("upto", upto)
-        .filter((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("n") < F.col("quota")))
-        .select(*entry, F.col("bucket").alias("edge"), (F.col("quota") - F.col("upto") + F.col("n")).alias("rest"))
+        .join(spans, entry)
+        .filter("upto > before and upto - n < last")
+        .select(*entry, "bucket", "cell", (F.col("before") - F.col("upto") + F.col("n")).alias("lo"), (F.col("last") - F.col("upto") + F.col("n")).alias("hi"), "n")
     )
-    near = keyed.join(edge, entry).filter(F.col("bucket") <= F.col("edge"))
-    sure = near.filter(F.col("bucket") < F.col("edge"))
-    rank = F.row_number().over(W.partitionBy(*entry).orderBy("key", "_id"))
-    at_edge = near.filter(F.col("bucket") == F.col("edge")).withColumn("rank", rank).filter(F.col("rank") <= F.col("rest"))
-    return sure.select("request_id", "_id", "cell").unionByName(at_edge.select("request_id", "_id", "cell"))
+    near = keyed.join(shares, [*entry, "bucket"])
+    whole = (F.col("lo") <= 0) & (F.col("hi") >= F.col("n"))
+    rank = F.row_number().over(W.partitionBy(*entry, "bucket", "cell").orderBy("key", "_id"))
+    at_edge = near.filter(~whole).withColumn("rank", rank).filter("rank > lo and rank <= hi")
+    return near.filter(whole).select("request_id", "_id", "cell").unionByName(at_edge.select("request_id", "_id", "cell"))
 
 
 def sample(predictions: DataFrame, targets: DataFrame, id_col: str = "prediction_id", fields: tuple[str, ...] = FIELDS, seed: int = 20_240_601) -> tuple[DataFrame, DataFrame]:
@@ -195,6 +243,12 @@ def sample(predictions: DataFrame, targets: DataFrame, id_col: str = "prediction
     return draw(people, rounded, fields, seed).withColumnRenamed("_id", id_col), report
 
 
+def shortfalls(report: DataFrame) -> DataFrame:
+    """The listed cells that drew less than needed, with the cause: `scarce` if too few results are in
+    the cell, `contended` if there are enough but overlapping cells need them too."""
+    return report.filter(F.col("drawn") < F.col("needed")).withColumn("cause", F.when(F.col("available") < F.col("needed"), "scarce").otherwise("contended"))
+
+
 def unmet(report: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """The listed cells that hold fewer results than needed, as listed."""
-    return report.filter(F.col("available") < F.col("needed")).select("request_id", *fields)
+    """The listed cells that drew less than needed as they hold too few results, as listed."""
+    return shortfalls(report).filter("cause = 'scarce'").select("request_id", *fields)

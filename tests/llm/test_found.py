@@ -43,6 +43,32 @@ def test_sample_meets_quotas_and_reports(spark):
     assert {x.prediction_id for x in drawn if x.request_id == 1 and x.prediction_id % 4 == 2} == set(sorted(b, key=lambda i: keys[i])[:20])
 
 
+def test_overlapping_cells_reach_the_largest_flow():
+    rnd = random.Random(7)
+    for _ in range(300):
+        supply = {f"c{j}": rnd.randint(0, 9) for j in range(4)}
+        matches = [{c: n for c, n in supply.items() if rnd.random() < 0.6} for _ in range(4)]
+        wanted = [rnd.randint(0, sum(m.values())) for m in matches]
+        x = [{} for _ in wanted]
+        mix.fill_overlaps(x, matches, wanted)
+        assert all(sum(r.get(c, 0) for r in x) <= n for c, n in supply.items())
+        assert all(c in m and q >= 0 for r, m in zip(x, matches) for c, q in r.items()) and all(sum(r.values()) <= w for r, w in zip(x, wanted))
+        # the smallest cut over all sets of cells
+        sets = [[i for i in range(4) if k >> i & 1] for k in range(16)]
+        cut = min(sum(supply[c] for c in {c for i in s for c in matches[i]}) + sum(w for i, w in enumerate(wanted) if i not in s) for s in sets)
+        assert sum(sum(r.values()) for r in x) == cut
+
+
+def test_overlapping_cells_share_what_is_there(spark):
+    p = spark.createDataFrame([(i, "a", "easy", "ar") for i in range(100)], "prediction_id long, query_type string, difficulty string, language string")
+    t = spark.createDataFrame([(1, "a", "*", "*", 6000, 0, 10000), (1, "*", "*", "ar", 4000, 0, 10000), (2, "a", "*", "*", 6000, 0, 10000), (2, "*", "*", "ar", 4000, 50, 10000)], "request_id int, query_type string, difficulty string, language string, share_bp int, min_rows int, sample_bp int")
+    got, report = mix.sample(p, t)
+    assert {(x.request_id, x.query_type): x.drawn for x in report.collect()} in ({(1, "a"): 60, (1, "*"): 40, (2, "a"): 60, (2, "*"): 40}, {(1, "a"): 60, (1, "*"): 40, (2, "a"): 50, (2, "*"): 50})
+    rows = got.collect()
+    assert len(rows) == len({(x.request_id, x.prediction_id) for x in rows}) == 200
+    assert [(x.request_id, x.cause) for x in mix.shortfalls(report).collect()] == [(2, "contended")] and mix.unmet(report).count() == 0
+
+
 def test_sample_of_nothing(spark):
     p = spark.createDataFrame([], "prediction_id long, query_type string, difficulty string, language string")
     t = spark.createDataFrame([(1, "*", "*", "*", 10000, 2, 5000)], "request_id int, query_type string, difficulty string, language string, share_bp int, min_rows int, sample_bp int")
