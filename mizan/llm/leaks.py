@@ -250,7 +250,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
                     parts, owner = [], []
                     for k, t in enumerate(b.column(1).to_pylist()):
                         raw = (t or "").split()
-                        for w in set(raw) - memo.keys():
+                        for w in set(raw).difference(memo):
                             memo[w] = np.array([ix.vocabulary.get(x, 0) for x in words_of(w)], np.int32).tobytes()
                         v = np.frombuffer(b"".join(map(memo.__getitem__, raw)), np.int32)
                         parts += [v, gap]
