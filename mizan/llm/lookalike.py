@@ -20,6 +20,8 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mizan.session import materialise
+
 # --- fixed values ------------------------------------------------------------------------------
 INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0"
 SPACES = "\t\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
@@ -109,7 +111,8 @@ def classes(df: DataFrame, key: tuple[str, ...], order: str, fields: tuple[str,
     long = wide.select(
         *key, order, F.explode(F.array(*[F.when(F.col(f"_d{i}"), F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value"))) for i, f in enumerate(fields)])).alias("v")
     ).select(*key, order, "v.field_name", "v.value").filter("field_name is not null and value is not null")
-    values = long.withColumn("form", comparison_form(F.col("value"))).withColumn("odd", odd_characters(F.col("value")))
+    # written once: the classes and the join back both read the forms
+    values = materialise(long.withColumn("form", comparison_form(F.col("value"))).withColumn("odd", odd_characters(F.col("value"))))
     names = ", ".join(f"`{k}`" for k in key)
     on = " and ".join(f"v.`{k}` <=> c.`{k}`" for k in key)
     return spark.sql(
