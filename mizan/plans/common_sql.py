@@ -30,6 +30,61 @@ def tokens(x: str) -> str:
     return f"list_transform({parts}, lambda y: {stem})"
 
 
+def words(x: str) -> str:
+    """White-space tokens."""
+    return f"list_filter(regexp_split_to_array(coalesce({x}, ''), '{WS_SQL}+'), lambda y: y <> '')"
+
+
+def rouge(a: str, b: str) -> str:
+    """F1 of the longest common subsequence of two token lists: one row of the table per token of `a`, as the
+    running maximum of the row above and its diagonal."""
+    matches = f"list_prepend(list_transform({b}, lambda t: 0), list_transform({a}, lambda x: list_transform({b}, lambda t: case when t = x then 1 else 0 end)))"
+    row = f"list_transform(range(1, len({b}) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda i: greatest(acc[i], coalesce(case when i > 1 then acc[i - 1] end, 0) + m[i]))))"
+    return f"case when len({a}) = 0 or len({b}) = 0 then 0.0 else 2.0 * coalesce(list_max(list_reduce({matches}, lambda acc, m: {row})), 0) / (len({a}) + len({b})) end"
+
+
+def in_order(x: str) -> str:
+    """Distinct elements in first-seen order."""
+    return f"list_filter({x}, lambda y, i: list_position({x}, y) = i)"
+
+
+_STOPS = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
+_BARE = "case when starts_with({0}, 'ال') and length({0}) > 4 then substr({0}, 3) else {0} end"
+
+
+def long_words(x: str) -> str:
+    split = r"[^\pL\pN_\x{600}-\x{6ff}]+"
+    return f"list_filter(regexp_split_to_array(coalesce({x}, ''), '{split}'), lambda y: length(y) >= 3)"
+
+
+def topic_words(x: str) -> str:
+    """Words without their article that are no stop words; repeats stay."""
+    bare = f"list_transform({long_words(x)}, lambda y: {_BARE.format('y')})"
+    return f"list_filter({bare}, lambda y: not list_contains({_STOPS}, y) and not list_contains({_STOPS}, {norm_ar('y')}))"
+
+
+def concept_words(x: str) -> str:
+    return f"list_filter({long_words(x)}, lambda y: not list_contains({_STOPS}, y) and not list_contains({_STOPS}, {_BARE.format('y')}))"
+
+
+def coverage_cte(texts: str, k: int) -> str:
+    """CTE cov(query_id, rank, key, score): the k texts(key, text) that hold most topic words of a question."""
+    return f"""qw as (select item_id as query_id, {topic_words('question')} as t from bench_item),
+tw as (select distinct query_id, {norm_ar('w.w')} as token from (select query_id, unnest(list_slice({in_order('t')}, 1, 8)) as w from qw) w),
+tx as (select key, {norm_ar('text')} as text from ({texts}) t0),
+th as (select token, key from (select distinct token from tw where token <> '') d join tx on contains(tx.text, d.token)),
+cs as (select query_id, key, count(*) as score from tw join th using (token) group by all),
+cov as (select query_id, cast(row_number() over (partition by query_id order by score desc, key) as int) as rank, key, score from cs
+  qualify row_number() over (partition by query_id order by score desc, key) <= {k})"""
+
+
+def answered(top: str) -> str:
+    """Pipeline answers from `top`(query_id, rank, doc_id, article_ref, text), for every held-out question."""
+    return f"""w as (select query_id, count(*) as n, md5(string_agg(doc_id || ' — ' || article_ref || ': ' || substr(coalesce(text, ''), 1, 280), chr(10) || chr(10) order by rank)) as md from {top} group by 1)
+select q.item_id as query_id, w.n is null as abstention, case when trim(coalesce(q.question, '')) = '' then 'empty_query' when w.n is null then 'no_hits' end as abstention_reason,
+  coalesce(w.n, 0) as n_citations, coalesce(md, md5('')) as answer_md5 from bench_item q left join w on q.item_id = w.query_id"""
+
+
 CHUNKS = "(select chunk_id, any_value(text) as text from chunk group by chunk_id)"
 PREDICTIONS = "(select * from predictions qualify row_number() over (partition by prediction_id order by logged_at) = 1)"
 

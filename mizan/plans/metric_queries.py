@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mizan.functions import metrics as M
 from mizan.operators import strata
-from mizan.plans.common_sql import PREDICTIONS
+from mizan.plans.common_sql import PREDICTIONS, rouge, words
 from mizan.session import table
 
 K = 10
@@ -120,7 +120,20 @@ _PK, _GK = _KEYS.format(c="predicted_citations"), _KEYS.format(c="gold_citations
 _TOK = "list_distinct(list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '[\\s\\x{{a0}}\\x{{202f}}\\x{{2007}}\\x{{85}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{205f}}\\x{{3000}}\\x{{1c}}-\\x{{1f}}\\x{{b}}]+'), lambda x: x <> ''))"
 _KIND = "coalesce(nullif(lower(trim(query_type)), ''), 'unknown')"
 
+_GRAMS = "list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1])"
+
 ORACLES = {
+    "met9_kendall_tau": f"""with e as (select prediction_id, list_filter(list_transform(coalesce(pred_article_ids, []), lambda x: list_position(coalesce(gold_article_ids, []), x)), lambda y: y > 0) as a from {PREDICTIONS} p0),
+      u as (select prediction_id, unnest(a) as v, generate_subscripts(a, 1) as i from e),
+      s as (select x.prediction_id, sum(sign(y.v - x.v)) as s, count(*) as n, count(*) filter (x.v = y.v) as t from u x join u y on x.prediction_id = y.prediction_id and x.i < y.i group by 1)
+      select prediction_id, round(coalesce(case when n = t then 0.0 else s / sqrt(n * (n - t)::double) end, 0.0), 6) as tau from e left join s using (prediction_id)""",
+    "met12_rouge": f"with t as (select prediction_id, {words('answer_text')} as a, {words('gold_answer_text')} as b from {PREDICTIONS} p0) select prediction_id, round({rouge('a', 'b')}, 6) as rouge_l from t",
+    "met15_reasoning": f"""with g as (select prediction_id, unnest(gold_reasoning_chain) as g, generate_subscripts(gold_reasoning_chain, 1) as i, reasoning_chain as p from {PREDICTIONS} p0),
+      t as (select prediction_id, {words('p[i]')} as a, {words('g')} as b from g), s as (select prediction_id, avg({rouge('a', 'b')}) as s from t group by 1)
+      select prediction_id, round(coalesce(s, 0), 6) as chain_score from {PREDICTIONS} p left join s using (prediction_id)""",
+    "met19_groundedness": f"""with c as (select prediction_id, unnest(predicted_citations) as c, answer_text from {PREDICTIONS} p0), t as (select prediction_id, {words('lower(c.text)')} as x, {words('lower(answer_text)')} as y from c),
+      s as (select prediction_id, avg(case when len(list_intersect({_GRAMS.format(w='x')}, {_GRAMS.format(w='y')})) > 0 then 1.0 else 0.0 end) as s from t group by 1)
+      select prediction_id, round(coalesce(s, 0), 6) as grounded from {PREDICTIONS} p left join s using (prediction_id)""",
     "met1_ranking": f"""with h as (select prediction_id, {_h('pred_article_ids', 'gold_article_ids')} as h, {_h('pred_doc_ids', 'gold_doc_ids')} as hd, len(coalesce(gold_article_ids, [])) as g from {PREDICTIONS} p0),
       s as (select *, list_sum(list_transform(h, lambda x, i: x / log2(i + 1.0))) as dcg, list_sum(list_transform(list_reverse_sort(h), lambda x, i: x / log2(i + 1.0))) as ideal,
         list_sum(list_transform(h, lambda x, i: case when x = 1 then list_sum(list_slice(h, 1, i)) / (i * 1.0) else 0 end)) as ap from h)

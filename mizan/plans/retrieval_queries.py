@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mizan.functions import text as T
 from mizan.operators import asof, fusion, gates, graph, registry, retrieval
 from mizan.plans import pipelines
-from mizan.plans.common_sql import PREDICTIONS, bm25_cte, norm_ar, sparse_cte
+from mizan.plans.common_sql import CHUNKS, PREDICTIONS, answered, bm25_cte, coverage_cte, norm_ar, sparse_cte, tokens
 from mizan.plans.metric_queries import results
 from mizan.plans.orphan_queries import canonical_sql
 from mizan.session import table
@@ -197,7 +197,35 @@ _KEYS_SQL = f"""rk as (select doc_id, eid, ordinal, {canonical_sql('article_ref'
   keys as (select canonical_id, key, arg_max(eid, ordinal) as eid from ke group by all)"""
 _SIG = "list_filter([" + ", ".join("case when regexp_matches(coalesce(text, ''), '{}') then '{}' end".format(*r) for r in RULES) + "], lambda x: x is not null)"
 
+_KEYED = "split_part(chunk_id, '#', 1) as doc_id, split_part(chunk_id, '#', 2) as article_ref"
+_FIRST = "qualify row_number() over (partition by query_id, doc_id, article_ref order by rank) = 1"
+_LATEST = "select concat_ws('#', doc_id, eid) as key, arg_max_null(text_ar, ordinal) as text from article group by doc_id, eid"
+
+
+def fused_cte(lists: str, k: int) -> str:
+    """CTE fu(query_id, rank, doc_id, article_ref, text): lists(query_id, l, rank, chunk_id) by reciprocal rank."""
+    return f"""kx as (select query_id, l, rank, {_KEYED}, text from ({lists}) h join {CHUNKS} c using (chunk_id)),
+      fx as (select query_id, doc_id, article_ref, round(sum(1.0::double / (60 + rank)), 9) as s, min(l * 1000 + rank) as seen, arg_min(text, l * 1000 + rank) as text from kx group by 1, 2, 3),
+      fu as (select *, row_number() over (partition by query_id order by s desc, seen, doc_id, article_ref) as rank from fx qualify row_number() over (partition by query_id order by s desc, seen, doc_id, article_ref) <= {k})"""
+
+
 ORACLES = {
+    "pipe_b1_answers": f"""with {bm25_cte(5)}, h as (select query_id, rank, {_KEYED}, text from bm join {CHUNKS} c using (chunk_id))
+      select query_id, count(*) as n_citations, md5(string_agg(doc_id || ' — ' || article_ref || ': ' || substr(coalesce(text, ''), 1, 280), chr(10) || chr(10) order by rank)) as answer_md5 from h group by 1""",
+    "pipe_b3_hybrid": f"with {_B20}, {sparse_cte(20)}, {fused_cte('select query_id, 0 as l, rank, chunk_id from bm union all select query_id, 1, rank, chunk_id from sp', 5)}, {answered('fu')}",
+    "pipe_b4_reranked": f"""with {bm25_cte(50)}, h as (select bm.query_id, bm.rank, chunk_id, list_distinct({tokens('q0.query')}) as q, list_distinct({tokens('c.text')}) as t from bm join {CHUNKS} c using (chunk_id) join q0 on q0.query_id = bm.query_id),
+      s as (select query_id, chunk_id, rank as old, round(len(list_intersect(q, t)) / greatest(len(q), 1), 6) as score from h)
+      select query_id, cast(row_number() over (partition by query_id order by score desc, old) as int) as rank, chunk_id, score from s qualify row_number() over (partition by query_id order by score desc, old) <= 5""",
+    "pipe_b5_graph": f"""with {bm25_cte(5)}, {coverage_cte(f'select chunk_id as key, text from {CHUNKS} c', 5)}, h as (select query_id, rank, key as chunk_id from cov union all select query_id, rank, chunk_id from bm where query_id not in (select query_id from cov)),
+      top5 as (select query_id, rank, {_KEYED}, text from h join {CHUNKS} c using (chunk_id) {_FIRST}), {answered('top5')}""",
+    "kg5_token_search": f"with {coverage_cte(_LATEST, 5)} select query_id, rank, key as article, score from cov",
+    "jn5_span_gate": f"""with c as (select prediction_id, unnest(predicted_citations) as c, generate_subscripts(predicted_citations, 1) - 1 as pos from {PREDICTIONS} p0),
+      k as (select prediction_id, pos, concat_ws('#', c.doc_id, case when {canonical_sql('c.article_ref')} = '' then '' else 'art_' || {canonical_sql('c.article_ref')} end) as key, lower({norm_ar('c.supporting_span')}) as s from c),
+      t as (select prediction_id, pos, s, l.text is null as gone, lower({norm_ar('l.text')}) as t,
+        list_filter(list_transform(regexp_split_to_array(s, '[،؛؟.,;:!?\\n]+'), lambda y: trim(y)), lambda y: length(y) >= 12) as p from k left join ({_LATEST}) l using (key)),
+      r as (select *, case when length(s) = 0 then 'no_span' when gone then 'no_article' when length(s) < 12 then 'too_short' when contains(t, s) then 'exact'
+        when len(p) > 0 and len(list_filter(p, lambda y: contains(t, y))) / len(p) >= 0.5 then 'clauses' else 'absent' end as reason from t)
+      select prediction_id, cast(pos as int) as pos, reason in ('no_span', 'exact', 'clauses') as passed, reason from r""",
     "ret1_index_terms": f"with {_B10}, dfs as (select term, count(*) as df from post group by 1) select term, df, round(idf, 6) as idf from dfs join idf using (term)",
     "ret2_bm25_topk": f"with {_B10} select * from bm",
     "ret4_dense_topk": """with s as (select q.vec_id as query_id, v.vec_id, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 6) as s6 from embeddings q, embeddings v where q.vec_id % 20 = 0)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mizan.functions import dates as D
 from mizan.functions import text as T
-from mizan.plans.common_sql import norm_ar, sub, tokens
+from mizan.plans.common_sql import WS_SQL, concept_words, in_order, norm_ar, sub, tokens, topic_words
 from mizan.plans.orphan_queries import canonical_sql
 from mizan.session import table
 
@@ -59,10 +59,12 @@ def str21_cited_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def agg7_law_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Law numbers that documents name, with the registered acts of that number."""
-    named = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.law_ids(F.col("text"))).alias("law"))
+    """Law numbers that texts and titles name, with the registered acts of that number."""
+    texts = table(spark, sf_dir, "documents").select(F.lit("text").alias("place"), F.col("doc_id").cast("string").alias("owner"), "text")
+    titles = table(spark, sf_dir, "article").select(F.lit("title").alias("place"), F.col("doc_id").alias("owner"), F.col("doc_title").alias("text")).distinct()
+    named = texts.unionByName(titles).select("place", "owner", F.explode(T.law_ids(F.col("text"))).alias("law"))
     acts = table(spark, sf_dir, "doc_entry").select(F.substring_index("canonical_id", "_", 1).alias("law"), "canonical_id").distinct()
-    return named.join(acts, "law").select("doc_id", "law", "canonical_id")
+    return named.join(acts, "law").select("place", "owner", "law", "canonical_id").distinct()
 
 
 def dat1_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +101,26 @@ def _norm_fr(x: str) -> str:
     return f"trim({sub(f'lower({sub(f"strip_accents(coalesce({x}, {chr(39)}{chr(39)}))", r"[^\x00-\x7F]")})', f'{_WS}+', ' ')})"
 
 
+def _re2(pattern: str) -> str:
+    """A pattern for Unicode text in the form that the SQL engine's expressions take."""
+    return pattern.replace("(?U)", "").replace(r"\s", WS_SQL).replace(r"\d", r"\p{Nd}").replace(r"\b", "")
+
+
+def _without_laws(x: str) -> str:
+    """Law numbers go; the bare form, which must stand alone, is met in text with doubled separators."""
+    t = f"coalesce({x}, '')"
+    for p in T.LAW_NUMBER_FORMS[:-1]:
+        t = sub(t, _re2(p))
+    once = sub(sub(t, r"([^\pL\pN\p{M}_])", r"\1\1"), r"(^|[^\pL\pN\p{M}_])\p{Nd}{2}--\p{Nd}{2,4}([^\pL\pN\p{M}_]|$)", r"\1\2")
+    return once
+
+
+def _cited(x: str) -> str:
+    """Doubled separators are halved by the white space and the dots that the forms allow."""
+    single = sub(x, r"([^\pL\pN\p{M}_])([^\pL\pN\p{M}_])", r"\1")
+    return "list_concat(" + ", ".join(f"regexp_extract_all({single}, '{_re2(p)}', 1)" for p in T.ARTICLE_CITATION_FORMS) + ")"
+
+
 QUERIES = {
     f.__name__: f
     for f in (str1_normalize_arabic, str2_normalize_french, str3_article_ref, str5_language, str6_normalize_query, str7_tokens, str9_graph_tokens, str13_token_counts, str16_spans, str21_cited_articles, agg7_law_ids, dat1_dates, flt1_article_chunks, flt2_paragraph_chunks, flt3_frbr)
@@ -116,8 +138,23 @@ ORACLES = {
       len(list_filter(regexp_split_to_array(coalesce(text, ''), '[،؛؟.,;:!?\\n]+'), lambda x: trim(x) <> '')) as n_clauses,
       len(list_filter(regexp_split_to_array(coalesce(text, ''), '[.!?؟。\\n]+\\s*'), lambda x: length(trim(x)) >= 15)) as n_claims from documents""",
     "str16_spans": "select ordinal, md5(substr(coalesce(text_ar, ''), 1, 280)) as span_md5 from article",
-    "agg7_law_ids": r"""with runs as (select doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(coalesce(text, ''), '[^\d-]+'), lambda x: regexp_full_match(x, '\d{2}-\d{2,3}')))) as law from documents)
-      select distinct doc_id, law, canonical_id from runs join doc_entry on split_part(canonical_id, '_', 1) = law""",
+    "agg7_law_ids": r"""with t as (select 'text' as place, cast(doc_id as varchar) as owner, text from documents union all select distinct 'title', doc_id, doc_title from article),
+      runs as (select place, owner, unnest(list_distinct(list_filter(regexp_split_to_array(coalesce(text, ''), '[^\d-]+'), lambda x: regexp_full_match(x, '\d{2}-\d{2,3}')))) as law from t)
+      select distinct place, owner, law, canonical_id from runs join doc_entry on split_part(canonical_id, '_', 1) = law""",
+    "str9_graph_tokens": f"""with t as (select item_id, {topic_words('question')} as t, {concept_words('question')} as c from bench_item),
+      g as (select *, list_transform(range(1, len(c)), lambda i: c[i] || ' ' || c[i + 1]) as two, list_transform(range(1, len(c) - 1), lambda i: c[i] || ' ' || c[i + 1] || ' ' || c[i + 2]) as three from t)
+      select item_id, array_to_string(list_slice({in_order('t')}, 1, 8), ' ') as topic_words,
+        cast(least(8, least(4, len(list_distinct(two))) + least(3, len(list_distinct(three))) + len(list_distinct(list_filter(c, lambda y: length(y) >= 4)))) as int) as n_phrases from g""",
+    "str21_cited_articles": f"""with c as (select doc_id, {_without_laws('text')} as t from documents),
+      f as (select doc_id, unnest(list_distinct(list_transform({_cited('t')}, lambda x: trim(regexp_replace(x, '{WS_SQL}+', ' ', 'g'))))) as article from c)
+      select doc_id, count(*) as n_cited from f group by 1""",
+    "dat1_dates": rf"""with d as (select doc_id, trim(pub_date) as p, regexp_replace(coalesce(text, ''), '(\D)', '\1\1', 'g') as t from documents),
+      e as (select doc_id, p, list_concat(regexp_extract_all(t, '(?:^|\D)(\d{{4}}--\d{{2}}--\d{{2}})(?:\D|$)', 1), list_transform(regexp_extract_all(t, '(?:^|\D)(\d{{1,2}}//\d{{1,2}}//\d{{4}})(?:\D|$)', 1),
+          lambda x: split_part(x, '//', 3) || '-' || lpad(split_part(x, '//', 2), 2, '0') || '-' || lpad(split_part(x, '//', 1), 2, '0'))) as found,
+        regexp_replace(regexp_replace(t, '(^|\D)\d{{4}}--\d{{2}}--\d{{2}}(\D|$)', '\1 \2', 'g'), '(^|\D)\d{{1,2}}//\d{{1,2}}//\d{{4}}(\D|$)', '\1 \2', 'g') as rest from d),
+      y as (select doc_id, p, list_concat(list_transform(found, lambda x: replace(x, '--', '-')), list_transform(regexp_extract_all(rest, '(?:^|\D)((?:1[89]|2[01])\d{{2}})(?:\D|$)', 1), lambda x: x || '-12-31')) as found from e)
+      select doc_id, coalesce(strftime(try_strptime(p, ['%Y-%m-%d', '%d/%m/%Y', '%d-%m-%Y', '%Y/%m/%d', '%d %B %Y', '%d %b %Y']), '%Y-%m-%d'), case when regexp_full_match(p, '\d{{4}}') then p || '-01-01' end,
+        strftime(try_strptime('1 ' || p, ['%d %B %Y', '%d %b %Y']), '%Y-%m-%d')) as pub_day, coalesce(list_max(found), '9999-12-31') as latest from y""",
     "flt1_article_chunks": f"select ordinal, concat_ws('#', doc_id, eid) as chunk_id, {canonical_sql('article_ref')} as ref, -1 as para_idx from article where {sub(chr(34) + 'text_ar' + chr(34), _WS)} <> ''",
     "flt2_paragraph_chunks": f"""with k as (select ordinal, doc_id, eid, text_ar, list_filter(list_zip(range(len(coalesce(paragraphs, []))), coalesce(paragraphs, [])), lambda z: {sub("coalesce(z[2], '')", _WS)} <> '') as p from article),
       r as (select ordinal, doc_id, eid, unnest(case when len(p) > 0 then p else [(-1, text_ar)] end) as z from k)
