@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from mizan.functions.text import normalize_arabic, tokens_of_normal
-from mizan.session import materialise
+from mizan.session import materialise, materialise_by, shuffle_partitions
 
 # --- fixed values: Okapi parameters -----------------------------------------------------------
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -45,18 +45,30 @@ def tokenised(rows: DataFrame, key: str, text: str, as_key: str) -> DataFrame:
 
 
 def build_index(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text") -> TextIndex:
-    """Postings with term frequencies; terms are counted map-side before they are shuffled. Texts are
-    tokenised once; what search joins with is read from the checkpoint."""
-    toks = materialise(tokenised(chunks, chunk_id, text, "chunk_id"))
-    lengths = toks.select("chunk_id", F.size("toks").alias("dl"))
-    # one shuffle by chunk serves the count, the join with query terms, and the sum of scores
-    rows = toks.repartition("chunk_id").select("chunk_id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
-    postings = rows.groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """Postings with term frequencies. Texts are tokenised once and shuffled once, by chunk; the counts are
+    written as a table bucketed by chunk, so neither document frequencies nor the sums of scores of any later
+    search move the postings again. A chunk without tokens is one row without a term."""
+    n = shuffle_partitions(chunks.sparkSession)
+    toks = tokenised(chunks, chunk_id, text, "chunk_id").repartition(n, "chunk_id")
+    rows = toks.select("chunk_id", F.size("toks").alias("dl"), F.explode_outer("toks").alias("term"))
+    stored = materialise_by(rows.groupBy("chunk_id", "dl", "term").agg(F.count("term").alias("tf")), "chunk_id")
+    postings = stored.filter("term is not null")
+    lengths = stored.groupBy("chunk_id").agg(F.max("dl").alias("dl"))
     terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
     return TextIndex(postings, lengths, terms, totals)
 
 
+def hashed_vectors(rows: DataFrame, key: str, text: str, as_key: str, dims: int = 256) -> DataFrame:
+    """`as_key`, vec: token counts, each token added with its own sign at its own place by its MD5; the declared
+    stand-in for a trained encoder. Texts without tokens have no vector. `dims` is at most 256."""
+    t = tokenised(rows, key, text, as_key).repartition(as_key).select(as_key, F.explode("toks").alias("term")).select(as_key, F.md5("term").alias("h"))
+    place = F.conv(F.substring("h", 1, 2), 16, 10).cast("int") % dims
+    w = t.groupBy(as_key, place.alias("i")).agg(F.sum(F.when(F.substring("h", 3, 1) < "8", 1.0).otherwise(-1.0)).alias("w"))
+    m = w.groupBy(as_key).agg(F.map_from_entries(F.collect_list(F.struct("i", "w"))).alias("m"))
+    return m.select(as_key, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("vec"))
+
+
 def bounded(side: DataFrame) -> DataFrame:
     """The stated queries' side of a join, written once, and broadcast if its size was found small."""
     side = materialise(side)
@@ -122,53 +134,59 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(x.cast("double")))
 
 
-def _passes(queries: DataFrame, id_col: str, vec: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _passes(queries: DataFrame, id_col: str, vec: str) -> Iterator[tuple[list, np.ndarray]]:
     """Blocks of at most QUERIES_PER_PASS query vectors."""
     ids, rows = [], []
-    for r in queries.select(F.col(id_col).cast("bigint").alias("i"), F.col(vec).alias("v")).filter("i is not null and v is not null").toLocalIterator():
+    for r in queries.select(F.col(id_col).alias("i"), F.col(vec).alias("v")).filter("i is not null and v is not null").toLocalIterator():
         ids.append(r.i)
         rows.append(r.v)
         if len(ids) == QUERIES_PER_PASS:
-            yield np.array(ids), np.array(rows, np.float64)
+            yield ids, np.array(rows, np.float64)
             ids, rows = [], []
     if ids:
-        yield np.array(ids), np.array(rows, np.float64)
+        yield ids, np.array(rows, np.float64)
 
 
-def dense_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec: str = "embedding", cosine: bool = True) -> DataFrame:
+def dense_search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec: str = "embedding", cosine: bool = True, query_id: str | None = None) -> DataFrame:
     """Exact top k by inner product (of unit vectors, if `cosine`): each task multiplies its rows with a
-    block of queries and keeps its k best, a window keeps the k best of all. Null vectors are no rows.
+    block of queries and keeps its k best, a window keeps the k best of all. Null vectors are no rows. Ids
+    are whole numbers or strings.
     """
+    asked = query_id or id_col
+    kinds = [vectors.schema[id_col].dataType.simpleString(), queries.schema[asked].dataType.simpleString()]
+    schema = f"query_id {kinds[1]}, chunk_id {kinds[0]}, score double"
     out = None
-    for ids, q in _passes(queries, id_col, vec):
+    for ids, q in _passes(queries, asked, vec):
         if cosine:
             q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-30)
         shared = vectors.sparkSession.sparkContext.broadcast((ids, q))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
-            best_i, best_s = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+            best_i, best_s, kind = None, np.zeros((len(ids), 0)), None
             for b in batches:
-                col = b.column(1)
-                keep = np.array([v is not None for v in col.to_pylist()]) if col.null_count else None
-                rows = b.column(0).to_numpy(zero_copy_only=False) if keep is None else b.column(0).to_numpy(zero_copy_only=False)[keep]
-                v = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
-                if not len(v):
+                if not b.num_rows:
                     continue
+                kind = b.column(0).type
+                rows, col = np.array(b.column(0).to_pylist()), b.column(1)
+                v = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
                 if cosine:
                     v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)
                 s = np.concatenate([best_s, np.round(q @ v.T, SCORE_DIGITS)], axis=1)
-                i = np.concatenate([best_i, np.broadcast_to(rows, (len(ids), len(rows)))], axis=1)
+                i = np.broadcast_to(rows, (len(ids), len(rows)))
+                i = i if best_i is None else np.concatenate([best_i, i], axis=1)
                 order = np.lexsort((i, -s), axis=1)[:, :k]
                 best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            n = best_s.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best_i.ravel()), pa.array(best_s.ravel())], names=["query_id", "chunk_id", "score"])
+            if best_i is not None:
+                n = best_s.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x in ids for _ in range(n)]), pa.array(best_i.ravel().tolist(), kind), pa.array(best_s.ravel())], names=["query_id", "chunk_id", "score"])
 
-        local = vectors.select(F.col(id_col).cast("bigint"), F.col(vec)).mapInArrow(run, "query_id bigint, chunk_id bigint, score double")
+        local = vectors.filter(F.col(id_col).isNotNull() & F.col(vec).isNotNull()).select(id_col, vec).mapInArrow(run, schema)
         part = ranked(local, k)
         out = part if out is None else out.unionByName(part)
     if out is None:
-        return vectors.select(F.lit(0).cast("bigint").alias("query_id"), F.lit(0).alias("rank"), F.col(id_col).cast("bigint").alias("chunk_id"), F.lit(0.0).alias("score")).filter(F.lit(False))
+        empty = vectors.sparkSession.createDataFrame([], f"query_id {kinds[1]}, rank int, chunk_id {kinds[0]}, score double")
+        return empty
     return out.select("query_id", "rank", "chunk_id", "score")
 
 

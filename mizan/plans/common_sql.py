@@ -67,10 +67,20 @@ def concept_words(x: str) -> str:
     return f"list_filter({long_words(x)}, lambda y: not list_contains({_STOPS}, y) and not list_contains({_STOPS}, {_BARE.format('y')}))"
 
 
-def coverage_cte(texts: str, k: int) -> str:
-    """CTE cov(query_id, rank, key, score): the k texts(key, text) that hold most topic words of a question."""
-    return f"""qw as (select item_id as query_id, {topic_words('question')} as t from bench_item),
-tw as (select distinct query_id, {norm_ar('w.w')} as token from (select query_id, unnest(list_slice({in_order('t')}, 1, 8)) as w from qw) w),
+def grams(x: str, n: int) -> str:
+    return f"list_transform(range(1, len({x}) - {n - 2}), lambda i: " + " || ' ' || ".join(f"{x}[i + {j}]" for j in range(n)) + ")"
+
+
+def coverage_cte(texts: str, k: int, phrases: bool = False) -> str:
+    """CTE cov(query_id, rank, key, score): the k texts(key, text) that hold most topic words (or concept
+    phrases) of a question."""
+    asked, wanted = topic_words("question"), f"list_slice({in_order('t')}, 1, 8)"
+    if phrases:
+        two, three = f"list_slice({in_order(grams('t', 2))}, 1, 4)", f"list_slice({in_order(grams('t', 3))}, 1, 3)"
+        long = "list_filter(t, lambda y: length(y) >= 4)"
+        asked, wanted = concept_words("question"), f"list_slice(list_concat({two}, {three}, {in_order(long)}), 1, 8)"
+    return f"""qw as (select item_id as query_id, {asked} as t from bench_item),
+tw as (select distinct query_id, {norm_ar('w.w')} as token from (select query_id, unnest({wanted}) as w from qw) w),
 tx as (select key, {norm_ar('text')} as text from ({texts}) t0),
 th as (select token, key from (select distinct token from tw where token <> '') d join tx on contains(tx.text, d.token)),
 cs as (select query_id, key, count(*) as score from tw join th using (token) group by all),

@@ -7,20 +7,22 @@ re-ranking, answering) are columns that a caller may replace through `Hooks`.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from mizan.functions import dates as D
 from mizan.functions import text as T
-from mizan.operators import fusion, gates, graph, registry, retrieval
+from mizan.operators import asof, fusion, gates, graph, registry, retrieval
 from mizan.session import materialise
 
 # --- fixed values: sizes of lists and thresholds --------------------------------------------------
 TOP, LIST, POOL, ROUTED, CANDIDATES, LONG = 5, 20, 50, 3, 8, 6
 VERIFIED, WEAK_EVIDENCE = 0.5, 0.030
-GRAPH_BOOST, DIRECT_TOP, SUB_QUESTIONS = 0.01, 3, 5
+GRAPH_BOOST, CONCEPT_BOOST, DIRECT_TOP, SUB_QUESTIONS, VERSIONS = 0.01, 0.05, 3, 5, 2
+ROUTE_DEPTH = 100
 # --------------------------------------------------------------------------------------------------
 
 
@@ -34,12 +36,18 @@ class Hooks:
 
 @dataclass
 class Corpus:
-    """chunks(chunk_id, doc_id, article_ref, text); docs and article_keys of the registry."""
+    """chunks(chunk_id, doc_id, article_ref, text); docs and article_keys of the registry; versions(doc_id,
+    article_ref, since, ordinal, text) of the articles; vectors(chunk_id, vec), made when first used.
+
+    lists and routes, where set, hold what was found for a batch of questions (`searched`)."""
 
     chunks: DataFrame
     index: retrieval.TextIndex
     docs: DataFrame
     article_keys: DataFrame
+    versions: DataFrame | None = None
+    lists: DataFrame | None = None
+    routes: DataFrame | None = None
 
     @staticmethod
     def of(chunks: DataFrame, articles: DataFrame) -> Corpus:
@@ -47,32 +55,61 @@ class Corpus:
         key = [F.substring_index("chunk_id", "#", 1).alias("doc_id"), F.split_part("chunk_id", F.lit("#"), F.lit(2)).alias("article_ref")]
         once = chunks.filter("chunk_id is not null").groupBy("chunk_id").agg(F.min("text").alias("text")).select("chunk_id", *key, "text")
         docs, keys = registry.build_registry(articles)
-        return Corpus(once, retrieval.build_index(once), docs, keys)
+        versions = articles.filter("doc_id is not null and eid is not null").select("doc_id", F.col("eid").alias("article_ref"), F.date_format("loaded_at", "yyyy-MM-dd").alias("since"), "ordinal", F.col("text_ar").alias("text"))
+        return Corpus(once, retrieval.build_index(once), docs, keys, versions)
 
 
 def _with_keys(c: Corpus, hits: DataFrame) -> DataFrame:
     return hits.join(c.chunks.select("chunk_id", "doc_id", "article_ref", "text"), "chunk_id")
 
 
+def _listed(c: Corpus, q: DataFrame, list_no: int, k: int) -> DataFrame:
+    """The first k of a list that was found before."""
+    own = c.lists.filter((F.col("list_no") == list_no) & (F.col("rank") <= k)).drop("list_no")
+    return own.join(q.select("query_id").distinct(), "query_id", "left_semi")
+
+
 def lexical(c: Corpus, q: DataFrame, k: int) -> DataFrame:
-    return _with_keys(c, retrieval.bm25_search(c.index, q, k))
+    return _listed(c, q, 0, k) if c.lists is not None else _with_keys(c, retrieval.bm25_search(c.index, q, k))
+
+
+def sparse(c: Corpus, q: DataFrame, k: int) -> DataFrame:
+    if c.lists is not None:
+        return _listed(c, q, 1, k)
+    docs, words = c.index.postings.withColumnRenamed("tf", "weight"), retrieval.query_terms(q, "query_id", "query").withColumnRenamed("qtf", "weight")
+    return _with_keys(c, retrieval.sparse_search(docs, words, k))
+
 
+def dense(c: Corpus, q: DataFrame, k: int) -> DataFrame:
+    """By vectors of the stand-in encoder."""
+    vectors = retrieval.hashed_vectors(c.chunks, "chunk_id", "text", "chunk_id")
+    return _with_keys(c, retrieval.dense_search(vectors, retrieval.hashed_vectors(q, "query_id", "query", "query_id"), k, "chunk_id", "vec", query_id="query_id"))
 
-def hybrid(c: Corpus, q: DataFrame, k: int | None, per_list: int = LIST) -> DataFrame:
-    """Lexical and sparse lists, fused; hits with text and score."""
-    sparse = retrieval.sparse_search(c.index.postings.withColumnRenamed("tf", "weight"), retrieval.query_terms(q, "query_id", "query").withColumnRenamed("qtf", "weight"), per_list)
-    lists = lexical(c, q, per_list).withColumn("list_no", F.lit(0)).unionByName(_with_keys(c, sparse).withColumn("list_no", F.lit(1)))
+
+def hybrid(c: Corpus, q: DataFrame, k: int | None, per_list: int = LIST, second=sparse) -> DataFrame:
+    """The lexical list and a second one, fused; hits with text and score."""
+    lists = lexical(c, q, per_list).withColumn("list_no", F.lit(0)).unionByName(second(c, q, per_list).withColumn("list_no", F.lit(1)))
     return fusion.rrf_fuse(lists, k, carry=["text", "chunk_id"])
 
 
+def searched(c: Corpus, q: DataFrame) -> Corpus:
+    """The corpus with the lists and routes of a batch of questions, each found once: a bounded number of rows
+    per question, with their texts. A shorter list is the head of a longer one."""
+    lists = lexical(c, q, ROUTE_DEPTH).withColumn("list_no", F.lit(0)).unionByName(sparse(c, q, POOL).withColumn("list_no", F.lit(1)))
+    found = replace(c, lists=materialise(lists))
+    return replace(found, routes=materialise(route(found, q)))
+
+
 def route(c: Corpus, q: DataFrame, n: int = ROUTED) -> DataFrame:
     """Documents of a question: by title, by law number, by their best lexical hits."""
+    if c.routes is not None and n == ROUTED:
+        return c.routes.join(q.select("query_id").distinct(), "query_id", "left_semi")
     titles = c.docs.filter("doc_title <> ''").select(T.normalize_arabic(F.lower("doc_title")).alias("token"), F.col("canonical_id").alias("doc_id"))
     asked = q.select("query_id", F.lower("query").alias("text"))
     alias = graph.token_hits(asked, titles, key="query_id").join(titles, "token").select("query_id", "doc_id").distinct()
     law = q.select("query_id", F.explode(T.law_ids(F.col("query"))).alias("law")).join(c.docs.select(F.substring_index("canonical_id", "_", 1).alias("law"), F.col("canonical_id").alias("doc_id")), "law").select("query_id", "doc_id").distinct()
     law = law.join(alias, ["query_id", "doc_id"], "left_anti")
-    best = fusion.document_scores(lexical(c, q, 100))
+    best = fusion.document_scores(lexical(c, q, ROUTE_DEPTH))
     channel = lambda d, name: d.select("query_id", "doc_id", F.lit(name).alias("channel"), (F.col("score") if "score" in d.columns else F.lit(1.0)).alias("score"))
     return fusion.fuse_channels(channel(alias, "alias").unionByName(channel(law, "number")).unionByName(channel(best, "lexical")), n)
 
@@ -92,6 +129,14 @@ def bm25_pipeline(c: Corpus, q: DataFrame) -> DataFrame:
     return answers(q, fusion.dedup_hits(lexical(c, q, TOP)))
 
 
+def dense_pipeline(c: Corpus, q: DataFrame) -> DataFrame:
+    return answers(q, fusion.dedup_hits(dense(c, q, TOP)))
+
+
+def dense_hybrid_pipeline(c: Corpus, q: DataFrame) -> DataFrame:
+    return answers(q, hybrid(c, q, TOP, second=dense))
+
+
 def hybrid_pipeline(c: Corpus, q: DataFrame) -> DataFrame:
     return answers(q, hybrid(c, q, TOP))
 
@@ -167,7 +212,7 @@ def multi_hop(c: Corpus, q: DataFrame, hooks: Hooks) -> DataFrame:
     parts = q.select("query_id", F.posexplode(F.slice(T.claims(F.col("query")), 1, SUB_QUESTIONS)).alias("pos", "part"))
     parts = parts.select(F.concat_ws("/", F.col("query_id").cast("string"), "pos").alias("sub"), "query_id", "part")
     subs = parts.select(F.col("sub").alias("query_id"), F.col("part").alias("query"))
-    found = _verified(hybrid(c, subs, CANDIDATES), subs, hooks).withColumnsRenamed({"query_id": "sub", "query": "asked"}).join(parts.select("sub", "query_id"), "sub")
+    found = _verified(hybrid(replace(c, lists=None, routes=None), subs, CANDIDATES), subs, hooks).withColumnsRenamed({"query_id": "sub", "query": "asked"}).join(parts.select("sub", "query_id"), "sub")
     pooled = fusion.best_confidence(found.withColumn("confidence", F.col("score")), 10)
     texts = found.groupBy("query_id", "doc_id", "article_ref").agg(F.min("text").alias("text"))
     return answers(q, pooled.join(texts, ["query_id", "doc_id", "article_ref"]).withColumn("score", F.col("confidence")), "no_verified_articles")
@@ -188,16 +233,46 @@ def unanswerable(c: Corpus, q: DataFrame, hooks: Hooks) -> DataFrame:
     return out.withColumn("abstention_reason", F.coalesce("why", "abstention_reason")).drop("why")
 
 
-HANDLERS = {"rule_application": rule_application, "exact_article": exact_article, "multi_hop": multi_hop, "long_context": long_context, "unanswerable": unanswerable, "layman": rule_application}
+def temporal(c: Corpus, q: DataFrame, hooks: Hooks) -> DataFrame:
+    """The candidates in the version that was in force at the latest date the question names; those of which
+    every version is later go, those without versions keep the text that was found."""
+    asked = q.select("query_id", D.target_date(D.dates_in(F.col("query"))).alias("at"))
+    hits = _candidates(c, q, TOP).join(asked, "query_id").withColumnRenamed("text", "found")
+    keys = ["doc_id", "article_ref"]
+    dated = asof.with_fallback(asof.as_of(hits, c.versions, keys, "at", "since", "ordinal"), c.versions, keys, "found")
+    w = W.partitionBy("query_id").orderBy("rank")
+    kept = dated.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= VERSIONS)
+    return answers(q, kept.select("query_id", "rank", "doc_id", "article_ref", "text", "score"), "no_version_in_force")
+
+
+def phrase_hits(c: Corpus, q: DataFrame, k: int) -> DataFrame:
+    """Chunks that hold most concept phrases of a question."""
+    phrases = q.select("query_id", F.explode(T.concept_phrases(F.col("query"))).alias("token"))
+    return _with_keys(c, graph.token_coverage(phrases, graph.token_hits(c.chunks, phrases, key="chunk_id"), k, key="chunk_id"))
+
+
+def conceptual(c: Corpus, q: DataFrame, hooks: Hooks) -> DataFrame:
+    """Lists of the question and of its phrases alone, fused; articles that hold the phrases are lifted."""
+    other = q.select("query_id", F.array_join(T.concept_phrases(F.col("query")), " ").alias("query"))
+    again = sparse(replace(c, lists=None), other, LIST).withColumn("list_no", F.lit(2))
+    lists = lexical(c, q, LIST).withColumn("list_no", F.lit(0)).unionByName(sparse(c, q, LIST).withColumn("list_no", F.lit(1))).unionByName(again)
+    lifted = fusion.boost(fusion.rrf_fuse(lists, LIST, carry=["text", "chunk_id"]), phrase_hits(c, q, POOL), CONCEPT_BOOST)
+    return answers(q, lifted.filter(F.col("rank") <= TOP))
+
+
+HANDLERS = {"rule_application": rule_application, "exact_article": exact_article, "multi_hop": multi_hop, "long_context": long_context, "unanswerable": unanswerable, "layman": rule_application, "temporal_factual": temporal, "conceptual_definitional": conceptual}
 
 
 def dispatch(c: Corpus, questions: DataFrame, hooks: Hooks | None = None, default: str = "rule_application") -> DataFrame:
-    """Splits questions(query_id, query, query_type) by handler, runs each sub-plan once, and unites them."""
+    """Splits questions(query_id, query, query_type) by handler and unites what they answer. Lists and routes
+    are found once for all questions; kinds that share a handler share its plan."""
     hooks, kind = hooks or Hooks(), F.lower(F.trim("query_type"))
     known = F.when(kind.isin(list(HANDLERS)), kind).otherwise(default)
-    named = questions.select("query_id", "query", known.alias("handler"))
+    named = materialise(questions.select("query_id", "query", known.alias("handler")))
+    c = searched(c, named.select("query_id", "query"))
     out = None
-    for name, handler in HANDLERS.items():
-        part = handler(c, named.filter(F.col("handler") == name).select("query_id", "query"), hooks).withColumn("handler", F.lit(name))
+    for handler in dict.fromkeys(HANDLERS.values()):
+        own = named.filter(F.col("handler").isin([n for n, h in HANDLERS.items() if h is handler]))
+        part = handler(c, own.select("query_id", "query"), hooks)
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.join(named.select("query_id", "handler"), "query_id")

@@ -106,6 +106,41 @@ def pipe_b3_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _brief(pipelines.hybrid_pipeline(_corpus(spark, sf_dir), _questions(spark, sf_dir)))
 
 
+def pipe_b2_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vector pipeline over the stand-in encoder."""
+    return _brief(pipelines.dense_pipeline(_corpus(spark, sf_dir), _questions(spark, sf_dir)))
+
+
+def pipe_b3_dense_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lexical and vector lists of 20, fused, first five."""
+    return _brief(pipelines.dense_hybrid_pipeline(_corpus(spark, sf_dir), _questions(spark, sf_dir)))
+
+
+def pipe_tf_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _brief(pipelines.temporal(_corpus(spark, sf_dir), _questions(spark, sf_dir), pipelines.Hooks()))
+
+
+def pipe_cd_conceptual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _brief(pipelines.conceptual(_corpus(spark, sf_dir), _questions(spark, sf_dir), pipelines.Hooks()))
+
+
+def kg11_phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles that hold most concept phrases of a question."""
+    q = _questions(spark, sf_dir).select("query_id", F.explode(T.concept_phrases(F.col("query"))).alias("token"))
+    return graph.token_coverage(q, graph.token_hits(_latest(spark, sf_dir), q), 5).select("query_id", "rank", "article", "score")
+
+
+def jn7_version_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of each cited article in force when the result was made; the citation's own text where the article
+    has no delivery at all."""
+    r = results(spark, sf_dir).select("prediction_id", "run_at", "predicted_citations")
+    c = gates.cited(r).join(r.select("prediction_id", "run_at"), "prediction_id")
+    t = c.select("prediction_id", "pos", "run_at", "doc_id", T.ref_to_eid(F.col("article_ref")).alias("eid"), F.col("text").alias("quoted"))
+    v = table(spark, sf_dir, "article").select("doc_id", "eid", "loaded_at", "ordinal", F.coalesce("text_ar", F.lit("")).alias("text"))
+    out = asof.with_fallback(asof.as_of(t, v, ["doc_id", "eid"], "run_at", "loaded_at", "ordinal"), v, ["doc_id", "eid"], "quoted")
+    return out.select("prediction_id", "pos", "source", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+
+
 def pipe_b5_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _brief(pipelines.graph_pipeline(_corpus(spark, sf_dir), _questions(spark, sf_dir)))
 
@@ -188,7 +223,7 @@ def agg21_signal_families(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (ret1_index_terms, ret2_bm25_topk, ret4_dense_topk, ret5_sparse_topk, ret6_maxsim_topk, agg1_rrf, agg4_document_scores, agg8_first_hits, pipe_b1_answers, pipe_b3_hybrid, pipe_b4_reranked, pipe_b5_graph, pipe_b6_graph_hybrid, pipe_d_dispatch, kg1_pattern, kg5_token_search, jn3_existence_gate, jn5_span_gate, jn6_version_in_force, jn10_audit, agg17_documents, agg18_registry_docs, agg18_registry_keys, flt8_signals, agg21_signal_families)
+    for f in (ret1_index_terms, ret2_bm25_topk, ret4_dense_topk, ret5_sparse_topk, ret6_maxsim_topk, agg1_rrf, agg4_document_scores, agg8_first_hits, pipe_b1_answers, pipe_b2_dense, pipe_b3_hybrid, pipe_b3_dense_hybrid, pipe_tf_temporal, pipe_cd_conceptual, kg11_phrase_search, jn7_version_text, pipe_b4_reranked, pipe_b5_graph, pipe_b6_graph_hybrid, pipe_d_dispatch, kg1_pattern, kg5_token_search, jn3_existence_gate, jn5_span_gate, jn6_version_in_force, jn10_audit, agg17_documents, agg18_registry_docs, agg18_registry_keys, flt8_signals, agg21_signal_families)
 }
 
 _B10, _B20 = bm25_cte(10), bm25_cte(20)
@@ -209,10 +244,28 @@ def fused_cte(lists: str, k: int) -> str:
       fu as (select *, row_number() over (partition by query_id order by s desc, seen, doc_id, article_ref) as rank from fx qualify row_number() over (partition by query_id order by s desc, seen, doc_id, article_ref) <= {k})"""
 
 
+def _dense_cte(k: int) -> str:
+    """CTE dn(query_id, rank, chunk_id, score): cosine of hashed token counts."""
+    parts = "(('0x' || substr(h, 1, 2))::int) as i, sum(case when substr(h, 3, 1) < '8' then 1.0::double else -1.0 end) as w"
+    return f"""dc as (select chunk_id, {parts} from (select chunk_id, md5(unnest({tokens('text')})) as h from {CHUNKS} c) group by chunk_id, i),
+      dq as (select query_id, {parts} from (select item_id as query_id, md5(unnest({tokens('question')})) as h from bench_item) group by query_id, i),
+      ds as (select query_id, chunk_id, round(coalesce(dot, 0) / greatest(ln * qn, 1e-30), 6) as score from (select * from (select chunk_id, sqrt(sum(w * w)) as ln from dc group by 1) a, (select query_id, sqrt(sum(w * w)) as qn from dq group by 1) b) n
+        left join (select query_id, chunk_id, sum(dq.w * dc.w) as dot from dq join dc using (i) group by all) using (query_id, chunk_id)),
+      dn as (select query_id, chunk_id, score, cast(row_number() over (partition by query_id order by score desc, chunk_id) as int) as rank from ds qualify row_number() over (partition by query_id order by score desc, chunk_id) <= {k})"""
+
+
 ORACLES = {
     "pipe_b1_answers": f"""with {bm25_cte(5)}, h as (select query_id, rank, {_KEYED}, text from bm join {CHUNKS} c using (chunk_id))
       select query_id, count(*) as n_citations, md5(string_agg(doc_id || ' — ' || article_ref || ': ' || substr(coalesce(text, ''), 1, 280), chr(10) || chr(10) order by rank)) as answer_md5 from h group by 1""",
     "pipe_b3_hybrid": f"with {_B20}, {sparse_cte(20)}, {fused_cte('select query_id, 0 as l, rank, chunk_id from bm union all select query_id, 1, rank, chunk_id from sp', 5)}, {answered('fu')}",
+    "pipe_b2_dense": f"with {_dense_cte(5)}, top5 as (select query_id, rank, {_KEYED}, text from dn join {CHUNKS} c using (chunk_id) {_FIRST}), {answered('top5')}",
+    "pipe_b3_dense_hybrid": f"with {_B20}, {_dense_cte(20)}, {fused_cte('select query_id, 0 as l, rank, chunk_id from bm union all select query_id, 1, rank, chunk_id from dn', 5)}, {answered('fu')}",
+    "kg11_phrase_search": f"with {coverage_cte(_LATEST, 5, phrases=True)} select query_id, rank, key as article, score from cov",
+    "jn7_version_text": f"""with c as (select prediction_id, run_at, unnest(predicted_citations) as c, generate_subscripts(predicted_citations, 1) - 1 as pos from {PREDICTIONS} p0),
+      t as (select prediction_id, pos, run_at, c.doc_id as doc_id, case when {canonical_sql('c.article_ref')} = '' then '' else 'art_' || {canonical_sql('c.article_ref')} end as eid, c.text as quoted from c),
+      j as (select t.prediction_id, t.pos, any_value(t.quoted) as quoted, count(a.ordinal) as n, count(*) filter (a.loaded_at <= t.run_at) as fit,
+        arg_max(coalesce(a.text_ar, ''), {{'l': a.loaded_at, 'o': a.ordinal}}) filter (a.loaded_at <= t.run_at) as text from t left join article a on a.doc_id = t.doc_id and a.eid = t.eid group by 1, 2)
+      select prediction_id, cast(pos as int) as pos, case when fit > 0 then 'version' else 'fallback' end as source, md5(coalesce(case when fit > 0 then text else quoted end, '')) as text_md5 from j where fit > 0 or n = 0""",
     "pipe_b4_reranked": f"""with {bm25_cte(50)}, h as (select bm.query_id, bm.rank, chunk_id, list_distinct({tokens('q0.query')}) as q, list_distinct({tokens('c.text')}) as t from bm join {CHUNKS} c using (chunk_id) join q0 on q0.query_id = bm.query_id),
       s as (select query_id, chunk_id, rank as old, round(len(list_intersect(q, t)) / greatest(len(q), 1), 6) as score from h)
       select query_id, cast(row_number() over (partition by query_id order by score desc, old) as int) as rank, chunk_id, score from s qualify row_number() over (partition by query_id order by score desc, old) <= 5""",

@@ -55,3 +55,16 @@ def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage through a reliable checkpoint in the shared folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialise_by(df: DataFrame, key: str) -> DataFrame:
+    """Written once to the shared folder as a table bucketed by `key`, so that what groups by it later needs no
+    shuffle. `df` has to come partitioned by `key` into `shuffle_partitions` parts."""
+    spark, name = df.sparkSession, f"mizan_{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
+    df.write.format("parquet").bucketBy(shuffle_partitions(spark), key).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
