@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 
 def as_of(targets: DataFrame, versions: DataFrame, keys: list[str], at: str, since: str, tie: str, first_wins: bool = False) -> DataFrame:
@@ -25,3 +26,16 @@ def with_fallback(found: DataFrame, chained: DataFrame, keys: list[str], fallbac
     known = chained.select(*keys).distinct().withColumn("_chain", F.lit(True))
     j = found.join(known, keys, "left")
     return j.filter("version is not null or _chain is null").withColumn("source", F.when(F.col("version").isNotNull(), "version").otherwise("fallback")).withColumn("text", F.coalesce(F.col("version.text"), F.col(fallback))).drop("_chain")
+
+
+def version_chain(versions: DataFrame, keys: list[str], since: str, tie: str) -> DataFrame:
+    """Versions of each key in order of time, numbered from 1, each with `until`: when the next one begins, null
+    for the last. Rows without a key or a time are no versions; a chain is sorted, never collected."""
+    w = W.partitionBy(*keys).orderBy(since, tie)
+    kept = versions.filter(" and ".join(f"`{c}` is not null" for c in [*keys, since]))
+    return kept.withColumns({"version_no": F.row_number().over(w), "until": F.lead(since).over(w)})
+
+
+def upsert(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of `new`, and those of `base` whose key `new` lacks; a null key is replaced by none."""
+    return base.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)

@@ -63,3 +63,12 @@ def faithfulness(claim_rows: DataFrame, cited_rows: DataFrame, scorer: Column, t
     best = claim_rows.join(cited_rows, "key", "left").groupBy("key", "claim_no").agg(F.max(F.coalesce(scorer, F.lit(0.0))).alias("best"))
     g = best.groupBy("key").agg(F.round(F.avg((F.col("best") >= threshold).cast("double")), 6).alias("covered"))
     return g.withColumn("passed", F.col("covered") >= coverage)
+
+
+def should_supervise(citations: Column, at_least: int = 3, low: float | None = None, high: float | None = None) -> Column:
+    """Enough citations, and the confidence of the first within the band where one is given."""
+    enough = F.coalesce(F.size(citations), F.lit(0)) >= at_least
+    if low is None and high is None:
+        return enough
+    first = F.coalesce(F.get(citations, 0)["confidence"], F.lit(0.0))
+    return enough & first.between(0.0 if low is None else low, 1.0 if high is None else high)

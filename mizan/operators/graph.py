@@ -91,3 +91,32 @@ def token_coverage(query_tokens: DataFrame, hits: DataFrame, k: int, key: str =
     n = q.join(hits, "token").groupBy("query_id", key).agg(F.count(F.lit(1)).alias("score"))
     w = W.partitionBy("query_id").orderBy(F.desc("score"), key)
     return n.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def entity_lookup(labels: DataFrame, surfaces: DataFrame, k: int = 10) -> DataFrame:
+    """surface, entity, label: the first k entities whose label(entity, label) holds a surface(token), without
+    regard to case; each label is read once for all surfaces."""
+    rows = labels.select("entity", "label", F.lower("label").alias("text"))
+    hits = token_hits(rows, surfaces.select(F.lower("token").alias("token")), key="entity")
+    w = W.partitionBy("token").orderBy("entity")
+    first = hits.withColumn("_i", F.row_number().over(w)).filter(F.col("_i") <= k)
+    return first.join(labels, "entity").select(F.col("token").alias("surface"), "entity", "label")
+
+
+def articles_of(articles: DataFrame, k: int = 50) -> DataFrame:
+    """The first k distinct articles of every document in file order."""
+    once = articles.filter("doc_id is not null and eid is not null").groupBy("doc_id", "eid").agg(F.min("ordinal").alias("ordinal"))
+    w = W.partitionBy("doc_id").orderBy("ordinal")
+    return once.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+
+
+def resolve_uri(uris: DataFrame, docs: DataFrame, uri: str = "uri") -> DataFrame:
+    """`uris` with doc_id and article_ref: .../<date>/<number>/...#<article>; the document is registered under
+    number_date, else under its number, else the number serves. A part below the article is cut off."""
+    number, date = F.regexp_extract(uri, r"/\d{4}-\d{2}-\d{2}/([^/#]+)", 1), F.regexp_extract(uri, r"/(\d{4}-\d{2}-\d{2})/", 1)
+    ref = F.regexp_extract(uri, r"#([^/#]+)", 1)
+    parts = uris.withColumns({"_number": number, "_both": F.concat_ws("_", number, date), "article_ref": ref})
+    known = docs.select("canonical_id").filter("canonical_id is not null").distinct()
+    a = known.select(F.col("canonical_id").alias("_both"), F.col("canonical_id").alias("_a"))
+    b = known.select(F.col("canonical_id").alias("_number"), F.col("canonical_id").alias("_b"))
+    return parts.join(a, "_both", "left").join(b, "_number", "left").withColumn("doc_id", F.coalesce("_a", "_b", "_number")).drop("_number", "_both", "_a", "_b")

@@ -55,7 +55,8 @@ class Corpus:
         key = [F.substring_index("chunk_id", "#", 1).alias("doc_id"), F.split_part("chunk_id", F.lit("#"), F.lit(2)).alias("article_ref")]
         once = chunks.filter("chunk_id is not null").groupBy("chunk_id").agg(F.min("text").alias("text")).select("chunk_id", *key, "text")
         docs, keys = registry.build_registry(articles)
-        versions = articles.filter("doc_id is not null and eid is not null").select("doc_id", F.col("eid").alias("article_ref"), F.date_format("loaded_at", "yyyy-MM-dd").alias("since"), "ordinal", F.col("text_ar").alias("text"))
+        # tables that do not say when an article arrived have no versions
+        versions = None if "loaded_at" not in articles.columns else articles.filter("doc_id is not null and eid is not null").select("doc_id", F.col("eid").alias("article_ref"), F.date_format("loaded_at", "yyyy-MM-dd").alias("since"), "ordinal", F.col("text_ar").alias("text"))
         return Corpus(once, retrieval.build_index(once), docs, keys, versions)
 
 
@@ -239,6 +240,8 @@ def temporal(c: Corpus, q: DataFrame, hooks: Hooks) -> DataFrame:
     asked = q.select("query_id", D.target_date(D.dates_in(F.col("query"))).alias("at"))
     hits = _candidates(c, q, TOP).join(asked, "query_id").withColumnRenamed("text", "found")
     keys = ["doc_id", "article_ref"]
+    if c.versions is None:
+        return answers(q, hits.withColumnRenamed("found", "text").filter(F.col("rank") <= VERSIONS))
     dated = asof.with_fallback(asof.as_of(hits, c.versions, keys, "at", "since", "ordinal"), c.versions, keys, "found")
     w = W.partitionBy("query_id").orderBy("rank")
     kept = dated.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= VERSIONS)

@@ -19,7 +19,7 @@ def questions(spark):
 
 def test_each_question_gets_one_answer(corpus, questions):
     q = questions.select("query_id", "query")
-    for pipeline in (P.bm25_pipeline, P.hybrid_pipeline, P.hybrid_rerank_pipeline, P.graph_pipeline, P.graph_hybrid_pipeline):
+    for pipeline in (P.bm25_pipeline, P.dense_pipeline, P.dense_hybrid_pipeline, P.hybrid_pipeline, P.hybrid_rerank_pipeline, P.graph_pipeline, P.graph_hybrid_pipeline):
         got = {r.query_id: r for r in pipeline(corpus, q).collect()}
         assert set(got) == {1, 2, 3, 4} and got[1].citations[0].doc_id == "90-11_1990-01-01" and got[1].citations[0].article_ref == "art_1"
         assert got[3].abstention and got[3].abstention_reason == "empty_query"
@@ -34,3 +34,39 @@ def test_dispatch(corpus, questions):
 def test_routes_by_number_and_title(corpus, questions):
     r = {(x.query_id, x.doc_id): x for x in P.route(corpus, questions.select("query_id", "query")).collect()}
     assert "number" in r[2, "90-11_1990-01-01"].sources and r[2, "90-11_1990-01-01"].rank == 1
+
+
+def test_lists_found_once_equal_lists_found_anew(corpus, questions):
+    q = questions.select("query_id", "query")
+    c = P.searched(corpus, q)
+    rows = lambda d: sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 6)) for r in d.collect())
+    for k in (1, 2, 20):
+        assert rows(P.lexical(c, q, k)) == rows(P.lexical(corpus, q, k)) and rows(P.sparse(c, q, k)) == rows(P.sparse(corpus, q, k))
+    routed = lambda c: sorted((r.query_id, r.doc_id, r["rank"]) for r in P.route(c, q).collect())
+    assert routed(c) == routed(corpus)
+
+
+def test_scoring_does_not_move_postings(corpus, questions):
+    from mizan.operators import retrieval
+
+    q = retrieval.query_terms(questions, "query_id", "query")
+    plan = retrieval.bm25_scores(corpus.index, q)._jdf.queryExecution().sparkPlan().toString()
+    assert "Bucketed: true" in retrieval.bm25_scores(corpus.index, q)._jdf.queryExecution().executedPlan().toString() and "Exchange" not in plan
+
+
+def test_temporal_takes_the_version_in_force(spark):
+    import datetime as dt
+
+    d = lambda y: dt.datetime(y, 1, 1)
+    arts = [(0, "90-11_1990-01-01", "1", "art_1", "شهادة العمل القديمة", d(1990)), (1, "90-11_1990-01-01", "1", "art_1", "شهادة العمل الجديدة", d(2010)), (2, "84-20_1984-01-01", "1", "art_1", "شهادة التأمين", d(2015))]
+    a = spark.createDataFrame([(*x, "قانون", x[1][-10:], "law", "f") for x in arts], "ordinal long, doc_id string, article_ref string, eid string, text_ar string, loaded_at timestamp, doc_title string, doc_date string, doc_type string, filename_stem string")
+    chunks = a.groupBy("doc_id", "eid").agg(F.max_by("text_ar", "ordinal").alias("text")).select(F.concat_ws("#", "doc_id", "eid").alias("chunk_id"), "text")
+    q = spark.createDataFrame([(1, "شهادة العمل في 12/05/2000"), (2, "شهادة العمل"), (3, None)], "query_id long, query string")
+    got = {r.query_id: r for r in P.temporal(P.Corpus.of(chunks, a), q, P.Hooks()).collect()}
+    assert [c.span for c in got[1].citations if c.doc_id.startswith("90")] == ["شهادة العمل القديمة"] and not [c for c in got[1].citations if c.doc_id.startswith("84")]
+    assert "شهادة العمل الجديدة" in [c.span for c in got[2].citations] and got[3].abstention
+
+
+def test_conceptual_lifts_phrases(corpus, questions):
+    got = {r.query_id: r for r in P.conceptual(corpus, questions.select("query_id", "query"), P.Hooks()).collect()}
+    assert set(got) == {1, 2, 3, 4} and got[1].citations[0].article_ref == "art_1" and got[3].abstention
