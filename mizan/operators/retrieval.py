@@ -109,11 +109,15 @@ def bm25_search(ix: TextIndex, questions: DataFrame, k: int, query_id: str = "qu
     terms = query_terms(questions, query_id, text)
     # k rows per query, read three times below
     top = materialise(ranked(bm25_scores(ix, terms), k).select("query_id", "rank", "chunk_id", "score"))
+    return padded(top, terms.select("query_id").distinct(), ix.chunks, k)
+
+
+def padded(top: DataFrame, asked: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """The hits of every asked query_id, with chunks of score 0 where fewer than k matched."""
     short = top.groupBy("query_id").agg(F.count(F.lit(1)).alias("have"))
-    asked = terms.select("query_id").distinct()
     short = asked.join(short, "query_id", "left").select("query_id", F.coalesce("have", F.lit(0)).alias("have")).filter(F.col("have") < k)
     # at most 2k ids can be needed: k may already be among the hits
-    filler = ix.chunks.select("chunk_id").orderBy("chunk_id").limit(2 * k)
+    filler = chunks.select("chunk_id").orderBy("chunk_id").limit(2 * k)
     spare = short.join(F.broadcast(filler), F.lit(True)).join(top.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
     w = W.partitionBy("query_id").orderBy("chunk_id")
     pad = spare.withColumn("i", F.row_number().over(w)).filter(F.col("i") + F.col("have") <= k)

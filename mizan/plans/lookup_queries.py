@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mizan.functions import metrics as M
 from mizan.functions import text as T
-from mizan.operators import asof, gates, graph, registry, retrieval, strata
+from mizan.operators import asof, batch, gates, graph, registry, strata
 from mizan.plans import metric_queries as MQ
 from mizan.plans.common_sql import PREDICTIONS, bm25_cte, coverage_cte, norm_ar
 from mizan.plans.metric_queries import results
@@ -78,7 +78,7 @@ def ret13_shared_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First hit of every stored result's query; equal queries are searched once."""
     r = results(spark, sf_dir).select("prediction_id", "query").filter("query is not null")
     once = materialise(r.select("query").distinct().select(F.md5("query").alias("query_id"), "query"))
-    top = retrieval.bm25_search(retrieval.build_index(_chunks(spark, sf_dir)), once, 1)
+    top = batch.bm25_batch(_chunks(spark, sf_dir), once, 1)
     return r.select("prediction_id", F.md5("query").alias("query_id")).join(top, "query_id").select("prediction_id", "chunk_id", "score")
 
 
